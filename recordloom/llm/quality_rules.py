@@ -52,7 +52,7 @@ class Rule:
 RULES = [
     Rule("symbols", "n_symbols", "n_words", 0.1, 0.5),
     Rule("upper_case", "n_upper", "n_letters", 0.25, 0.5),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", 0.05, 0.3, 3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", 0.1, 0.4, 5),
     Rule("repeated_windows", "n_repeat_words", "n_words", 0.2, 0.5, 20),
     Rule("bare_symbols", "n_bare", "n_words", 0.02, 0.2),
     Rule("stressed_words", "n_stressed", "n_words", 0.1, 0.5),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import packing, quality_rules, repair, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "op7_repair_tokens": repair.op7,
+    "op8_harmonic_packing": packing.op8,
+    "op9_kd_sharding": sharding.op9,
 }
 ORACLES: dict[str, str] = {}
