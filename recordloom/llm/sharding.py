@@ -29,7 +29,7 @@ from .common import materialise
 
 BINS = 4096
 #: A group of equal texts above this share of a shard's target is dealt into parts.
-UNIT_SHARE = 0.002
+UNIT_SHARE = 0.05
 #: A median's step may hold this share of the node's bytes before it is taken as found.
 PRECISE = 0.0005
 ROWS_PER_SLOT_RANGE = 50_000
