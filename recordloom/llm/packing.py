@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
 
         for pdf in batches:
             texts, ids = strings(pdf["text"]), pdf["doc_id"].tolist()
-            for lo, hi in words.chunks(texts):
+            for lo, hi in words.chunks(texts, tokens.BATCH_CHARS):
                 for doc_id, data in zip(ids[lo:hi], encoder.encode(texts[lo:hi])):
                     packer.add(None if doc_id is None or doc_id != doc_id else doc_id, data + end)
                 yield frame()

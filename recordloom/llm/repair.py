@@ -189,7 +189,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS
         for pdf in batches:
             texts = strings(pdf["text"])
             part = int(pdf["part"].iloc[0]) if part is None and len(pdf) else part
-            for lo, hi in words.chunks(texts):
+            for lo, hi in words.chunks(texts, tokens.BATCH_CHARS):
                 for doc_id, data in zip(pdf["doc_id"].iloc[lo:hi].tolist(), encoder.encode(texts[lo:hi])):
                     ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
                     parts.append(data + end)

@@ -13,25 +13,30 @@ import re
 
 #: White space as the tokenizers' patterns take it (fixed values: Unicode White_Space).
 _WS = r"\t-\r \x85\xa0  -     　"
-#: A byte-level piece: a run of other characters with at most one space before it, or white space.
-_BYTE_PIECES = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+#: Letters after which a comma or full stop at a word's end always begins a piece of its own.
+_A = "A-Za-zÀ-ÖØ-öø-ÿ"
+_END = rf"(?=[{_WS}]|\Z)"
+#: A byte-level piece: letters, or another run, with at most one space before it, or white space.
+_BYTE_PIECES = re.compile(rf" ?[{_A}]+(?=[,.]?[{_WS}]|[,.]?\Z)|(?<=[{_A}])[,.]{_END}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: The word tokenizer drops white space.
-_WORD_PIECES = re.compile(r"[^\t-\r ]+")
+_WORD_PIECES = re.compile(rf"[{_A}]+(?=[,.]?[\t-\r ]|[,.]?\Z)|(?<=[{_A}])[,.](?=[\t-\r ]|\Z)|[^\t-\r ]+")
 _MAX_KEPT = 600_000
 _LONG_PIECE = 200
 _GROUP = 500
+#: Callers cut their batches into this many characters; larger ones look up fewer pieces twice.
+BATCH_CHARS = 6_000_000
 
 
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids. `path` is the tokenizer's file."""
 
-    def __init__(self, path: str, pieces: re.Pattern):
+    def __init__(self, path: str, pieces: re.Pattern, lower: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = pieces
+        self.pieces, self.lower = pieces, lower
         # A second copy takes the end-of-text string as a mark between pieces, so that many go in one call.
         self.marking = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
@@ -57,7 +62,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Pieces over _LONG_PIECE characters aren't kept."""
-        parts = [self.pieces.findall(x) for x in texts]
+        parts = [self.pieces.findall(_lowered(x) if self.lower else x) for x in texts]
         need = set()
         for x in parts:
             need.update(x)
@@ -76,12 +81,21 @@ class Encoder:
         return out
 
 
+def _lowered(text: str) -> str:
+    """Lower case where that can't differ from the tokenizer's own (Latin-1), else the text as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 
 def _load(kind: str, path: str, pieces: re.Pattern) -> Encoder:
     if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = Encoder(path, pieces)
+        _LOADED[kind, path] = Encoder(path, pieces, kind == "word")
     return _LOADED[kind, path]
 
 
