@@ -20,7 +20,7 @@ _END = rf"(?=[{_WS}]|\Z)"
 _BYTE_PIECES = re.compile(rf" ?[{_A}]+(?=[,.]?[{_WS}]|[,.]?\Z)|(?<=[{_A}])[,.]{_END}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: The word tokenizer drops white space.
 _WORD_PIECES = re.compile(rf"[{_A}]+(?=[,.]?[\t-\r ]|[,.]?\Z)|(?<=[{_A}])[,.](?=[\t-\r ]|\Z)|[^\t-\r ]+")
-_MAX_KEPT = 600_000
+_MAX_KEPT = 1_000_000
 _LONG_PIECE = 200
 _GROUP = 500
 #: Callers cut their batches into this many characters; larger ones look up fewer pieces twice.
