@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules
+from . import neardup, packing, quality_rules
 
 
 def quality(spark, docs, sf_dir):
@@ -12,7 +12,8 @@ def quality(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    raise NotImplementedError
+    """One document of each class of near duplicates."""
+    return neardup.keep_one(docs).select(*docs.columns)
 
 
 def decontaminate(spark, docs, sf_dir):
