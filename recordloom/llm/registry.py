@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, quality_rules, repair, sharding
+from . import decontam, neardup, packing, pii, quality_rules, repair, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op5_minhash_neardup": neardup.op5,
+    "op6_decontamination": decontam.op6,
     "op7_repair_tokens": repair.op7,
     "op8_harmonic_packing": packing.op8,
     "op9_kd_sharding": sharding.op9,
+    "op10_pii": pii.op10,
 }
 ORACLES: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, quality_rules
+from . import decontam, neardup, packing, pii, quality_rules
 
 
 def quality(spark, docs, sf_dir):
@@ -17,11 +17,13 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def decontaminate(spark, docs, sf_dir):
-    raise NotImplementedError
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def redact(spark, docs, sf_dir):
-    raise NotImplementedError
+    """All documents, with personal data masked."""
+    return pii.redact(docs)
 
 
 def pack(spark, docs, sf_dir):

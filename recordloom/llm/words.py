@@ -116,3 +116,35 @@ def windows(b: Batch, n: int) -> tuple[np.ndarray, np.ndarray]:
         h += b.hashes[at + i] * _ODD[i % len(_ODD)]
         h *= U(0x2545F4914F6CDD1D)
     return mix(h), at
+
+
+_FOLDED = 0x3000
+_LOWER = np.arange(_FOLDED, dtype=np.uint32)
+_ALNUM = np.zeros(_FOLDED, bool)
+_CLASS = np.zeros(_FOLDED, np.uint8)  # 1 upper, 2 other letter, 3 digit, 0 anything else
+for _i in range(_FOLDED):
+    _c = chr(_i)
+    if len(_c.lower()) == 1:
+        _LOWER[_i] = ord(_c.lower())
+    _ALNUM[_i] = _c.isalnum()
+    _CLASS[_i] = 1 if _c.isupper() else 2 if _c.isalpha() else 3 if _c.isdigit() else 0
+
+
+def fold(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case code points and their classes. Code points from U+3000 on count as letters."""
+    near = codes < _FOLDED
+    safe = np.where(near, codes, 0)
+    return np.where(near, _LOWER[safe], codes), np.where(near, _CLASS[safe], 2)
+
+
+def cores(b: Batch, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's bounds without leading and trailing signs; empty (start = end) for a word of signs only."""
+    solid = np.flatnonzero(kinds > 0)
+    if not len(solid):
+        return b.starts.copy(), b.starts.copy()
+    i = np.searchsorted(solid, b.starts)
+    j = np.searchsorted(solid, b.ends) - 1
+    some = i <= j
+    start = np.where(some, solid[np.minimum(i, len(solid) - 1)], b.starts)
+    end = np.where(some, solid[np.maximum(j, 0)] + 1, b.starts)
+    return start, end
