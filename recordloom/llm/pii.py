@@ -206,7 +206,7 @@ def training_table() -> list[tuple[list[str], list[str]]]:
     def some() -> list[tuple[list[str], list[str]]]:
         end = pick(["", "", ".", ","])
         kind = int(rng.integers(0, 9))
-        cue = lambda name: ([pick(CUES[name].split()) + pick(["", ":"])], ["O"])
+        cue = lambda name: ([pick(CUES[name].split()) + pick(["", ":", "."] if name == "title" else ["", ":"])], ["O"])
         if kind == 0:
             return [tagged([f"{digits(3)}-{digits(3)}-{digits(4)}{end}"], "crf_phone")]
         if kind == 1:
@@ -239,7 +239,7 @@ def training_table() -> list[tuple[list[str], list[str]]]:
     return out
 
 
-def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 150, ridge: float = 1e-3) -> Model:
+def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 250, ridge: float = 1e-3) -> Model:
     """Maximum likelihood by AdaGrad; all sentences go through forward and backward at once."""
     table = training_table() if table is None else table
     w = look([" ".join(ws) for ws, _ in table])
