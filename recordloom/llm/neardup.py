@@ -11,10 +11,14 @@ Document frequencies come from a count-min sketch of fixed size over all
 documents; its error is a fixed share of the corpus, so the weights behave
 alike at every size. Improved consistent weighted sampling (Ioffe, 2010) draws
 SAMPLES samples; ROWS of them make a band. Texts that share a band meet the
-smallest of their bucket; the weighted Jaccard similarity is computed for these
-pairs. A text that fails there is compared with the others of its bucket,
-unless the triangle inequality of the Jaccard distance excludes a link, or both
-are connected already. Linked texts are joined to classes by star contraction.
+most central of their bucket, whose runs are the commonest: among copies edited
+here and there, the least edited one. The weighted Jaccard similarity is
+computed for these pairs. A text that fails there is compared with the others of
+its bucket, unless both are connected already or one of three exact bounds
+excludes a link: the triangle inequality of the Jaccard distance, the weight of
+runs that only one text at hand has, or the number of full-weight runs that one
+of the two has and the other lacks. The bounds are join conditions, so that only
+pairs that are likely links become rows. Linked texts are joined to classes by star contraction.
 So a group costs its size, not its square, and no link inside a bucket between
 unconnected texts is passed over. Equal texts are one node throughout.
 
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
 from .common import materialise, strings
@@ -45,6 +49,8 @@ WIDTH, DEPTH, SLICES, SPREAD = 1 << 21, 2, 64, 32
 #: A run counts fully from this share of the text's median inverse document frequency on.
 FULL_FROM = 0.75
 PAIRS_PER_SALT = 2_000
+#: Members of a bucket, after the most central, that texts which failed with that one are compared with first.
+PIVOTS = 8
 
 
 def runs(texts: list[str]) -> Iterator[np.ndarray]:
@@ -117,6 +123,12 @@ def weigh(h: np.ndarray, table: np.ndarray, n_docs: int) -> tuple[np.ndarray, np
     return once, tf * np.minimum(1.0, idf / (FULL_FROM * np.median(idf)))
 
 
+def _centrality(h: np.ndarray, table: np.ndarray) -> float:
+    """Mean log document frequency of a text's runs."""
+    once = np.unique(h)
+    return float(np.log(np.maximum(1, np.minimum(*(row[cell] for row, cell in zip(table, _cells(once)))))).mean()) if len(once) else 0.0
+
+
 def jaccard(a: tuple, b: tuple) -> float:
     """Weighted Jaccard similarity of two weighed texts; 0 if either is empty."""
     if not len(a[0]) or not len(b[0]):
@@ -183,6 +195,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, n_docs: int) -> DataFr
     return left.join(right, ["a", "salt"]).select("a", "b", "a_text", "b_text").mapInPandas(compare, "a binary, b binary, sim double")
 
 
+def _bounds(far: DataFrame, failed: DataFrame, held: DataFrame, shared, n_docs: int) -> DataFrame:
+    """Total weight, weight of a text's own runs, its runs and those of weight 1 or more, for each node in a bucket with a failure.
+
+    A sketch over the texts of these buckets bounds from above in how many of them a run occurs, so that a
+    run counted once is the text's own.
+    """
+    at_hand = far.join(failed.select("bucket").distinct(), "bucket", "left_semi")
+    at_hand = at_hand.select("node").unionByName(at_hand.select(F.col("head").alias("node"))).distinct()
+    mates = materialise(held.join(at_hand, "node", "left_semi").dropDuplicates(["node"]))
+    seen, _ = sketch(mates)
+    own = far.sparkSession.sparkContext.broadcast(seen)
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for h in runs(strings(pdf["text"])):
+                once, w = weigh(h, shared.value, n_docs)
+                df = np.minimum(*(row[cell] for row, cell in zip(own.value, _cells(once))))
+                out.append((float(w.sum()), float(w[df <= 1].sum()), once[w >= 1].view(np.int64), once.view(np.int64)))
+            yield pd.DataFrame(out, columns=["total", "own", "full", "runs"]).assign(node=pdf["node"].to_numpy())[["node", "total", "own", "full", "runs"]]
+
+    return mates.select("node", "text").mapInPandas(bound, "node binary, total double, own double, full array<long>, runs array<long>")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Verified links between different texts, as nodes (u, v): enough of them to connect every class."""
     spark = docs.sparkSession
@@ -192,14 +228,14 @@ def links(docs: DataFrame) -> DataFrame:
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [sample(h, w) if len(h) else None for h, w in (weigh(h, shared.value, n_docs) for h in runs(strings(pdf["text"])))]
-            out = pd.DataFrame({"node": pdf["node"], "bands": found})
+            weighed = [weigh(h, shared.value, n_docs) for h in runs(strings(pdf["text"]))]
+            out = pd.DataFrame({"node": pdf["node"], "center": [_centrality(h, shared.value) for h, _ in weighed], "bands": [sample(h, w) if len(h) else None for h, w in weighed]})
             yield out[out["bands"].notna()]
 
-    drawn = texts.select(_node(F.col("text")).alias("node"), "text").mapInPandas(draw, "node binary, bands array<long>")
-    members = materialise(drawn.select("node", F.explode("bands").alias("bucket")).distinct())
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    placed = materialise(members.join(buckets, "bucket").select("bucket", "head", "node"))
+    drawn = texts.select(_node(F.col("text")).alias("node"), "text").mapInPandas(draw, "node binary, center double, bands array<long>")
+    members = materialise(drawn.select("node", "center", F.explode("bands").alias("bucket")).distinct())
+    buckets = members.groupBy("bucket").agg(F.max(F.struct("center", "node"))["node"].alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    placed = materialise(members.join(buckets, "bucket").select("bucket", "head", "node", "center"))
     pairs = placed.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     wanted = placed.select("node").distinct()
     one = docs.select(_node(F.col("text")).alias("node"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")).groupBy("node").agg(F.min("id").alias("id"))
@@ -208,18 +244,43 @@ def links(docs: DataFrame) -> DataFrame:
     sims = materialise(_verified(pairs, held, shared, n_docs))
     edges = sims.where(F.col("sim") >= SIMILARITY).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    far = placed.join(sims.select(F.col("a").alias("head"), F.col("b").alias("node"), "sim"), ["head", "node"])
-    failed = far.where(F.col("sim") < SIMILARITY).select("bucket", F.col("node").alias("a"), F.col("sim").alias("a_sim"))
-    near = far.select("bucket", F.col("node").alias("b"), F.col("sim").alias("b_sim"))
-    open_pairs = failed.join(near, "bucket").where((F.col("a") != F.col("b")) & (F.abs(F.col("a_sim") - F.col("b_sim")) <= 1 - SIMILARITY + 1e-9))
-    open_pairs = materialise(open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if open_pairs.isEmpty():
+    far = materialise(placed.join(sims.select(F.col("a").alias("head"), F.col("b").alias("node"), "sim"), ["head", "node"]))
+    failed = far.where(F.col("sim") < SIMILARITY)
+    profile = _bounds(far, failed, held, shared, n_docs)
+    far = far.join(profile, "node").where((F.col("sim") >= SIMILARITY) | (F.col("total") - F.col("own") >= (SIMILARITY - 1e-9) * F.col("total")))
+    far = materialise(far)
+    side = lambda df, x: df.select("bucket", F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("sim", "total", "own", "full", "runs")))
+    failed, near = materialise(side(far.where(F.col("sim") < SIMILARITY), "a")), side(far, "b")
+    if failed.isEmpty():
         return edges
-    roots = components(edges)
+    # first against the next most central members of the bucket, then against all that are still apart
+    busy = placed.join(failed.select("bucket").distinct(), "bucket", "left_semi").where("node <> head")
+    order = Window.partitionBy("bucket").orderBy(F.desc("center"), "node")
+    pivots = busy.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS).select("bucket", F.col("node").alias("b"))
+    edges = _also_linked(failed.join(pivots, "bucket").select("a", "b"), edges, held, shared, n_docs)
+    roots = materialise(components(edges))
+    root = lambda df, x: df.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left").withColumn(f"{x}_root", F.coalesce(f"{x}_root", x))
+    apart = F.col("a_root") != F.col("b_root")
+    within = F.abs(F.col("a_sim") - F.col("b_sim")) <= 1 - SIMILARITY + 1e-9
+    enough = lambda x, y: F.col(f"{x}_total") - F.col(f"{x}_own") >= (SIMILARITY - 1e-9) * (F.col(f"{x}_total") + F.col(f"{y}_own"))
+    once = (F.col("b_sim") >= SIMILARITY) | (F.col("a") < F.col("b"))
+    lacks = lambda x, y: F.size(F.array_except(f"{x}_full", f"{y}_runs"))
+    missed = lambda x, y: F.col(f"{x}_total") - lacks(x, y) >= (SIMILARITY - 1e-9) * (F.col(f"{x}_total") + lacks(y, x))
+    rest = root(failed, "a").join(root(near, "b"), "bucket").where(apart & within & once & enough("a", "b") & enough("b", "a") & missed("a", "b") & missed("b", "a"))
+    return _also_linked(rest.select("a", "b"), edges, held, shared, n_docs)
+
+
+def _also_linked(pairs: DataFrame, edges: DataFrame, held: DataFrame, shared, n_docs: int) -> DataFrame:
+    """The edges, with those pairs (a, b) that link two components."""
+    pairs = pairs.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    roots = materialise(components(edges))
     root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    apart = open_pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    apart = materialise(apart.select("a", "b").distinct())
+    if apart.isEmpty():
+        return edges
     more = materialise(_verified(apart, held, shared, n_docs).where(F.col("sim") >= SIMILARITY))
-    return edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return materialise(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
 
 def classes(docs: DataFrame) -> DataFrame:
