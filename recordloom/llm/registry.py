@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, packing, pii, quality_rules, repair, sharding
+from . import decontam, neardup, packing, pages, pii, quality_rules, repair, secrets, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "op3_page_text": pages.op3,
+    "op4_secrets": secrets.op4,
     "op5_minhash_neardup": neardup.op5,
     "op6_decontamination": decontam.op6,
     "op7_repair_tokens": repair.op7,
