@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, packing, pages, pii, quality_rules, repair, secrets, sharding
+from . import decontam, lm, neardup, packing, pages, pii, quality_rules, repair, secrets, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "op2_lm_scores": lm.op2,
     "op3_page_text": pages.op3,
     "op4_secrets": secrets.op4,
     "op5_minhash_neardup": neardup.op5,
