@@ -19,3 +19,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def cut_lineage(df):
+    """Write a frame to the shared folder and read it back, so that loops keep short plans and lost executors cost little."""
+    import uuid
+
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    path = f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
