@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Protocol tags (fixed values: stored identities depend on them).
 DERIVED_TAG = "agent-memory-derived-v1"
@@ -53,7 +53,7 @@ def derived_id(namespace: Column, source: Column, anchor: Column, text: Column,
     return F.sha2(body, 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ratio(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None or x != x else "[{},{}]".format(*float(x).as_integer_ratio()))
 

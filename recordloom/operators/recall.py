@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from recordloom.errors import finite, whole
 from recordloom.functions import text as tx
@@ -71,7 +71,7 @@ def recall(records: DataFrame, query: str, principal: str, now: float, edges: Da
     carried = [c for c in records.columns if c != "id"]
     hits = fit.select("id", *carried, "resolved_trust", "witnesses").join(F.broadcast(top), "id")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def passage(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: excerpt.excerpt(t, query, excerpt_chars))
 

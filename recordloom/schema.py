@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import _parse_datatype_string as parse
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-RECORD = parse(
-    "namespace string, id string, revision bigint, text string, source string, author string, kind string, trust string, audience array<string>, "
-    "sources array<struct<id:string,revision:bigint>>, derived boolean, complete boolean, confidence double, created_at double, occurred_at double, "
-    "expires_at double, status string"
+_REF = T.StructType([T.StructField("id", T.StringType()), T.StructField("revision", T.LongType())])
+_KINDS = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "strings": T.ArrayType(T.StringType()), "refs": T.ArrayType(_REF)}
+
+
+def table_of(fields: str) -> T.StructType:
+    """A schema from "name kind, name kind"; made without a session, unlike DDL strings."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (f.split() for f in fields.split(", "))])
+
+
+RECORD = table_of(
+    "namespace string, id string, revision bigint, text string, source string, author string, kind string, trust string, audience strings, sources refs, "
+    "derived boolean, complete boolean, confidence double, created_at double, occurred_at double, expires_at double, status string"
 )
-EDGE = parse("namespace string, source string, relation string, target string, record_id string, revision bigint, weight double")
-FEEDBACK = parse("pos bigint, namespace string, operation_id string, record_id string, expected_revision bigint, outcome string")
+EDGE = table_of("namespace string, source string, relation string, target string, record_id string, revision bigint, weight double")
+OPERATION = table_of("namespace string, operation_id string, fingerprint string, record_id string, outcome string, revision bigint")
 
 TRUST = ["untrusted", "unknown", "trusted"]
 STATUS = ["active", "retired"]

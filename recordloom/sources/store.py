@@ -12,13 +12,13 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from recordloom.errors import CheckpointConflictError, ConflictError, OperationConflictError
 from recordloom.operators import ledger, provenance
-from recordloom.schema import EDGE, RECORD, checked
+from recordloom.schema import EDGE, OPERATION, RECORD, checked
 
 VERSION = 2
-OPERATION = "namespace string, operation_id string, fingerprint string, record_id string, outcome string, revision bigint"
 
 
 class Store:
@@ -106,7 +106,7 @@ class Store:
         raise ConflictError("the store is busy")
 
     def edges(self, namespace: str = "default") -> DataFrame:
-        rows = self._read("edges", EDGE.simpleString()[7:-1].replace(":", " ") + ", batch int", self._manifests()).where(F.col("namespace") == namespace)
+        rows = self._read("edges", StructType([*EDGE.fields, StructField("batch", IntegerType())]), self._manifests()).where(F.col("namespace") == namespace)
         key = ["namespace", "source", "relation", "target", "record_id"]
         return rows.groupBy(*key).agg(F.max_by(F.struct("revision", "weight"), "batch").alias("x")).select(*key, "x.*")
 
