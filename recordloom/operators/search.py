@@ -36,7 +36,7 @@ def postings(records: DataFrame) -> DataFrame:
 def candidates(index: DataFrame, query: str, limit: int = 100, namespace: str | None = None) -> DataFrame:
     """id, revision, bm25 (the better, the lower) and position of the best matches of any term.
 
-    Statistics cover all indexed namespaces. A term of several tokens matches as a phrase.
+    Scores are rounded to 12 places, so that equal ones tie. Statistics cover all indexed namespaces. A term of several tokens matches as a phrase.
     """
     whole(limit, "limit", 0, 10_000)
     wanted = [re.findall(r"[^\W_]+", _fold_here(t)) for t in tx.terms(query[: tx.MAX_QUERY_CHARS])[: tx.MAX_TERMS]]
@@ -58,7 +58,7 @@ def candidates(index: DataFrame, query: str, limit: int = 100, namespace: str |
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("namespace", "id", "revision").agg((-F.sum(part)).alias("bm25"))
+    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("namespace", "id", "revision").agg(F.round(-F.sum(part), 12).alias("bm25"))
     if namespace is not None:
         scored = scored.where(F.col("namespace") == namespace)
     best = scored.orderBy("bm25", "id").limit(limit)

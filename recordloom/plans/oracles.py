@@ -38,7 +38,7 @@ _BM = rf"""tok AS (SELECT doc_id, id, unnest(regexp_extract_all(lower(strip_acce
 len AS (SELECT doc_id, id, count(*) AS length FROM tok GROUP BY ALL), st AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
 tf AS (SELECT doc_id, id, token, count(*) AS tf FROM tok WHERE token IN ({', '.join(f"'{t}'" for t in _TERMS)}) GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-bm AS (SELECT doc_id, id, -sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean))) AS bm25
+bm AS (SELECT doc_id, id, round(-sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean))), 12) AS bm25
  FROM tf JOIN df USING (token) JOIN len USING (doc_id, id), st GROUP BY ALL),
 pos AS (SELECT doc_id, id, bm25, row_number() OVER (ORDER BY bm25, id) AS position FROM bm)"""
 
