@@ -39,3 +39,10 @@ def materialise(df: DataFrame) -> DataFrame:
 def per_owner(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Count, or sum of integer weights, for each of n owners."""
     return np.bincount(owner, weights, n).astype(np.int64)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Holds Arrow batches to so many rows: they carry whole texts, and a worker holds a batch or two."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
-from .common import materialise, strings
+from .common import bounded_batches, materialise, strings
 from .components import components
 
 U = np.uint64
@@ -222,6 +222,7 @@ def _bounds(far: DataFrame, failed: DataFrame, held: DataFrame, shared, n_docs:
 def links(docs: DataFrame) -> DataFrame:
     """Verified links between different texts, as nodes (u, v): enough of them to connect every class."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     table, n_docs = sketch(texts)
     shared = spark.sparkContext.broadcast(table)
