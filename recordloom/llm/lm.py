@@ -4,7 +4,7 @@ Documents are encoded in blocks (a few million characters): the block's words as
 hashes, and its tokens as indexes of them. Each block sends its different
 n-grams, with how often it has them, to buckets by hash. A bucket's rows form
 its part of the count table, which is joined to them on the spot: every block
-gets the totals of what it sent, and sums the logarithms per document. A
+gets what all others have of what it sent, and sums the logarithms per document. A
 frequent n-gram is one row for each block, not for each occurrence, and buckets
 are made so many that each holds about BUCKET_ROWS rows.
 
@@ -32,20 +32,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .common import materialise, strings
+from .common import bounded_batches, materialise, strings
 
 U = np.uint64
 ORDER, BACKOFF = 2, 0.4
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 3_000_000
 BUCKET_ROWS = 400_000
 
 
-def _pack(a: np.ndarray) -> bytes:
+def _pack(a: np.ndarray, level: int = 1) -> bytes:
     """Non-negative integers as byte planes, compressed."""
     a = a.astype("<u8")
     planes = a.view(np.uint8).reshape(-1, 8)
     used = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    return bytes([used]) + zlib.compress(np.ascontiguousarray(planes[:, :used].T).tobytes(), 1)
+    return bytes([used]) + zlib.compress(np.ascontiguousarray(planes[:, :used].T).tobytes(), level)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -87,13 +87,13 @@ class Block:
         return Block(np.frombuffer(row.vocabulary, U), _unpack(row.codes).astype(np.int64), np.asarray(row.sizes, np.int64), order)
 
     def score(self, totals: list[np.ndarray], corpus: int) -> np.ndarray:
-        """Sum of log10 scores of each document. totals: the corpus counts of each order's keys."""
+        """Sum of log10 scores of each document. totals: the counts of each order's keys in all other blocks."""
         n_tokens, n_docs = int(self.sizes.sum()), len(self.sizes)
         others = []  # by order: the counts of each window without its own document
-        for (keys, _, _, inverse, doc), total in zip(self.grams, totals):
+        for (keys, counts, _, inverse, doc), total in zip(self.grams, totals):
             pair = doc.astype(np.int64) * max(1, len(keys)) + inverse
             _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
-            others.append(total.astype(np.int64)[inverse] - own[back])
+            others.append((total.astype(np.int64) + counts)[inverse] - own[back])
         left = np.maximum(1, corpus - np.repeat(self.sizes, self.sizes))
         log = np.where(others[0] > 0, np.log10(np.maximum(others[0], 1) / left), np.log10(BACKOFF / left)) if n_tokens else np.zeros(0)
         shorter = others[0]
@@ -125,7 +125,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 new = np.empty(len(seen), np.int64)
                 new[rank] = np.arange(len(seen))
                 own = [None if x is None or x != x else x for x in ids[lo:hi]]
-                yield pd.DataFrame({"block": [f"{part}-{number}"], "ids": [own], "sizes": [np.diff(b.first).tolist()], "vocabulary": [seen[rank].tobytes()], "codes": [_pack(new[code])], "n": [len(code)]})
+                yield pd.DataFrame({"block": [f"{part}-{number}"], "ids": [own], "sizes": [np.diff(b.first).tolist()], "vocabulary": [seen[rank].tobytes()], "codes": [_pack(new[code], 6)], "n": [len(code)]})
                 number += 1
 
     return docs.select("doc_id", "text").mapInPandas(encode, f"block string, ids array<{kind}>, sizes array<long>, vocabulary binary, codes binary, n long")
@@ -134,6 +134,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens and log10_score (the sum over the document's words) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession, 2_000)
     held = materialise(blocks(docs))
     corpus = held.agg(F.sum("n")).first()[0] or 0
     bits = max(1, (order * corpus // BUCKET_ROWS).bit_length())
@@ -151,7 +152,8 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         keys, counts = [_unpack_keys(x) for x in pdf["keys"]], np.concatenate([_unpack(x) for x in pdf["counts"]])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, counts)[inverse].astype(np.int64)
-        parts = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
+        # what others have: mostly 0, so that it packs well
+        parts = np.split(total - counts.astype(np.int64), np.cumsum([len(k) for k in keys])[:-1])
         return pd.DataFrame({"gram": pdf["gram"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "block": pdf["block"].to_numpy(), "totals": [_pack(x) for x in parts]})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
