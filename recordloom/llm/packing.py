@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -124,8 +125,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
         end = END_ID.to_bytes(4, "little")
 
         def frame() -> pd.DataFrame:
-            out = pd.DataFrame(packer.take(), columns=names).astype({"doc_id": "object" if kind == "string" else "Int64"})
-            return out if with_ids else out[names[:-1]]
+            columns = list(zip(*packer.take())) or [[]] * len(names)
+            out = {n: np.array(x, np.int64) for n, x in zip(names[1:-1], columns[1:-1])}
+            first = pd.Series(columns[0], dtype="object" if kind == "string" else "Int64")
+            return pd.DataFrame({"doc_id": first} | out | ({"ids": list(columns[-1])} if with_ids else {}))
 
         for pdf in batches:
             texts, ids = strings(pdf["text"]), pdf["doc_id"].tolist()

@@ -15,11 +15,10 @@ import re
 _WS = r"\t-\r \x85\xa0  -     　"
 #: Letters after which a comma or full stop at a word's end always begins a piece of its own.
 _A = "A-Za-zÀ-ÖØ-öø-ÿ"
-_END = rf"(?=[{_WS}]|\Z)"
 #: A byte-level piece: letters, or another run, with at most one space before it, or white space.
-_BYTE_PIECES = re.compile(rf" ?[{_A}]+(?=[,.]?[{_WS}]|[,.]?\Z)|(?<=[{_A}])[,.]{_END}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+_BYTE_PIECES = re.compile(rf" ?[{_A}]++(?![^,.{_WS}]|[,.][^{_WS}])|(?<=[{_A}])[,.](?![^{_WS}])| ?[^{_WS}]++|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: The word tokenizer drops white space.
-_WORD_PIECES = re.compile(rf"[{_A}]+(?=[,.]?[\t-\r ]|[,.]?\Z)|(?<=[{_A}])[,.](?=[\t-\r ]|\Z)|[^\t-\r ]+")
+_WORD_PIECES = re.compile(rf"[{_A}]++(?![^,.\t-\r ]|[,.][^\t-\r ])|(?<=[{_A}])[,.](?![^\t-\r ])|[^\t-\r ]++")
 _MAX_KEPT = 1_000_000
 _LONG_PIECE = 200
 _GROUP = 500
