@@ -41,6 +41,22 @@ def per_owner(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> n
     return np.bincount(owner, weights, n).astype(np.int64)
 
 
+def release() -> None:
+    """Gives memory that earlier work of a reused Python worker freed back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    from . import words
+
+    words.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Holds Arrow batches to so many rows: they carry whole texts, and a worker holds a batch or two."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .common import materialise, strings
+from .common import materialise, release, strings
 
 U = np.uint64
 WINDOW, MIN_WORDS, COVERAGE = 8, 4, 0.5
@@ -166,6 +166,7 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for pdf in batches:
             texts, nodes = strings(pdf["text"]), pdf["node"].tolist()

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens, words
-from .common import strings
+from .common import release, strings
 
 CAPACITY = 4096
 #: Classes with a fixed count of pieces; shorter pieces are packed one after another.
@@ -120,6 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     names = ["doc_id", *(x.split()[0] for x in PIECE.split(", ")), "ids"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         packer = Packer(TaskContext.get().partitionId(), capacity)
         encoder = tokens.word_encoder(tokenizer)
         end = END_ID.to_bytes(4, "little")

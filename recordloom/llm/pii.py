@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words
-from .common import strings
+from .common import release, strings
 
 BASE = ["email", "ip", "card", "phone"]
 FIELD = ["crf_phone", "crf_id", "crf_mail", "crf_name"]
@@ -362,6 +362,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             found = all_spans(strings(pdf["text"]), m)
             out = {"doc_id": pdf["doc_id"]} | {f"n_{k}": [sum(s[2] == k for s in b) for b, _ in found] for k in BASE}
@@ -391,6 +392,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     m = train() if model is None else model
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             texts = strings(pdf["text"])
             new = [masked(t, s) if s else t for t, (_, s) in zip(texts, all_spans(texts, m))]

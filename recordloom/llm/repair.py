@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import tokens, words
-from .common import shared_dir, strings
+from .common import release, shared_dir, strings
 
 MAGIC, VERSION, HEAD = b"RLRP", 1, "<4sIQQQII"
 END_ID = 2
@@ -179,6 +179,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS
     """Encodes documents in ascending doc_id order and writes their blocks as a Parquet table."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         encoder, end = tokens.byte_encoder(tokenizer), END_ID.to_bytes(4, "little")
         ids, parts, held, before, number = [], [], 0, 0, 0
 

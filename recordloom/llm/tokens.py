@@ -19,11 +19,11 @@ _A = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BYTE_PIECES = re.compile(rf" ?[{_A}]++(?![^,.{_WS}]|[,.][^{_WS}])|(?<=[{_A}])[,.](?![^{_WS}])| ?[^{_WS}]++|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: The word tokenizer drops white space.
 _WORD_PIECES = re.compile(rf"[{_A}]++(?![^,.\t-\r ]|[,.][^\t-\r ])|(?<=[{_A}])[,.](?![^\t-\r ])|[^\t-\r ]++")
-_MAX_KEPT = 1_000_000
+_MAX_KEPT = 700_000
 _LONG_PIECE = 200
 _GROUP = 500
 #: Callers cut their batches into this many characters; larger ones look up fewer pieces twice.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 4_000_000
 
 
 class Encoder:
@@ -33,10 +33,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.pieces, self.lower = pieces, lower
-        # A second copy takes the end-of-text string as a mark between pieces, so that many go in one call.
+        # The end-of-text string is a mark between pieces, so that many go in one call.
         self.marking = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
         self.mark_id = self.marking.token_to_id(self.mark)
@@ -49,7 +47,9 @@ class Encoder:
         apart = [x for x in new if "<|" in x or "|>" in x]
         plain = [x for x in new if "<|" not in x and "|>" not in x]
         groups = [plain[i : i + _GROUP] for i in range(0, len(plain), _GROUP)]
-        out = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False), strict=True)}
+        self.marking.encode_special_tokens = True  # in these pieces the string is ordinary text
+        out = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(apart, self.marking.encode_batch_fast(apart, add_special_tokens=False), strict=True)} if apart else {}
+        self.marking.encode_special_tokens = False
         for group in groups:
             ids = np.array(self.marking.encode_batch_fast([self.mark.join(group)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark_id)

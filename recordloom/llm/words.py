@@ -18,7 +18,7 @@ import numpy as np
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _INV_BASE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 _ODD = np.array([(0xA24BAED4963EE407 * (2 * i + 1)) % (1 << 64) | 1 for i in range(64)], U)
 
 
@@ -47,6 +47,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def forget() -> None:
+    """Drops the tables of powers."""
+    _POWERS.update(up=np.ones(1, U), down=np.ones(1, U))
+
+
 def code_points(texts: list[str]) -> np.ndarray:
     """All characters of the texts, one after another."""
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
