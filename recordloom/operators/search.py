@@ -47,7 +47,7 @@ def candidates(index: DataFrame, query: str, limit: int = 100, namespace: str |
     for number, phrase in enumerate(wanted):
         rows = index.where(F.col("token").isin(phrase)) if len(phrase) > 1 else index.where(F.col("token") == phrase[0])
         if len(phrase) > 1:
-            at = F.array_distinct(F.flatten(F.array(*(F.array(*(F.when(F.col("token") == t, F.col("pos") - i) for i, t in enumerate(phrase)))))))
+            at = F.array_distinct(F.array(*(F.when(F.col("token") == t, F.col("pos") - i) for i, t in enumerate(phrase))))
             starts = rows.select("namespace", "id", "revision", "length", F.explode(at).alias("begin"), "pos").where("begin is not null")
             rows = starts.groupBy("namespace", "id", "revision", "length", "begin").agg(F.countDistinct("pos").alias("n")).where(F.col("n") == len(phrase))
         one = rows.groupBy("namespace", "id", "revision", "length").agg(F.count(F.lit(1)).alias("tf")).withColumn("term", F.lit(number))

@@ -27,10 +27,10 @@ class Store:
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self.fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        if not self.fs.exists(self._path(f"{self.path}/_manifests")):
-            self.fs.mkdirs(self._path(f"{self.path}/_manifests"))
-            self._create(f"{self.path}/_meta.json", json.dumps({"version": VERSION}))
-        if (found := json.loads(self._text(f"{self.path}/_meta.json"))["version"]) > VERSION:
+        if not self.fs.exists(self._path(f"{self.path}/manifests")):
+            self.fs.mkdirs(self._path(f"{self.path}/manifests"))
+            self._create(f"{self.path}/meta.json", json.dumps({"version": VERSION}))
+        if (found := json.loads(self._text(f"{self.path}/meta.json"))["version"]) > VERSION:
             raise ValueError(f"unsupported store version {found}")
 
     def _create(self, path: str, text: str) -> bool:
@@ -49,8 +49,8 @@ class Store:
         return "\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(path).collect())
 
     def _manifests(self) -> list[dict]:
-        names = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.path}/_manifests")) if s.getPath().getName().endswith(".json"))
-        return [json.loads(self._text(f"{self.path}/_manifests/{n}")) for n in names]
+        names = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.path}/manifests")) if s.getPath().getName().endswith(".json"))
+        return [json.loads(self._text(f"{self.path}/manifests/{n}")) for n in names]
 
     def _read(self, table: str, schema, at: list[dict]) -> DataFrame:
         paths = [m["tables"][table] for m in at if table in m["tables"]]
@@ -63,7 +63,7 @@ class Store:
         for name, df in tables.items():
             names[name] = f"{name}/{uuid.uuid4().hex}"
             df.write.parquet(f"{self.path}/{names[name]}")
-        return self._create(f"{self.path}/_manifests/{number:012d}.json", json.dumps({"tables": names, "cursors": cursors or {}}))
+        return self._create(f"{self.path}/manifests/{number:012d}.json", json.dumps({"tables": names, "cursors": cursors or {}}))
 
     def history(self, namespace: str = "default") -> DataFrame:
         return checked(self._read("history", RECORD, self._manifests()).where(F.col("namespace") == namespace))
