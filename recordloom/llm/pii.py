@@ -239,7 +239,7 @@ def training_table() -> list[tuple[list[str], list[str]]]:
     return out
 
 
-def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 250, ridge: float = 1e-3) -> Model:
+def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 250, ridge: float = 1e-4) -> Model:
     """Maximum likelihood by AdaGrad; all sentences go through forward and backward at once."""
     table = training_table() if table is None else table
     w = look([" ".join(ws) for ws, _ in table])
@@ -287,7 +287,7 @@ def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 2
         for value, first, grad, s in ((weights, start, gold_w - grad_w, sums[0]), (moves, 0, gold_m - grad_m, sums[1])):
             g = grad / n - ridge * (value - first)
             s += g * g
-            value += 0.3 * g / np.sqrt(s)
+            value += 0.5 * g / np.sqrt(s)
     weights[0] = 0
     return Model(shapes, weights, moves)
 
@@ -337,7 +337,8 @@ def field_spans(texts: list[str], m: Model) -> list[list[tuple[int, int, str]]]:
             out[d][-1] = (out[d][-1][0], end, FIELD[kind])
         else:
             out[d].append((start, end, FIELD[kind]))
-    return out
+    # a name starts with a capital and has no digits
+    return [[s for s in spans if s[2] != "crf_name" or texts[d][s[0]].isupper() and not any(c.isdigit() for c in texts[d][s[0] : s[1]])] for d, spans in enumerate(out)]
 
 
 def all_spans(texts: list[str], m: Model) -> list[tuple[list, list]]:
