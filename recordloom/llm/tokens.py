@@ -47,9 +47,11 @@ class Encoder:
         apart = [x for x in new if "<|" in x or "|>" in x]
         plain = [x for x in new if "<|" not in x and "|>" not in x]
         groups = [plain[i : i + _GROUP] for i in range(0, len(plain), _GROUP)]
-        self.marking.encode_special_tokens = True  # in these pieces the string is ordinary text
-        out = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(apart, self.marking.encode_batch_fast(apart, add_special_tokens=False), strict=True)} if apart else {}
-        self.marking.encode_special_tokens = False
+        out = {}
+        if apart:
+            self.marking.encode_special_tokens = True  # in these pieces the string is ordinary text
+            out = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(apart, self.marking.encode_batch_fast(apart, add_special_tokens=False), strict=True)}
+            self.marking.encode_special_tokens = False
         for group in groups:
             ids = np.array(self.marking.encode_batch_fast([self.mark.join(group)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark_id)
