@@ -10,6 +10,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+from itertools import islice
+
+import numpy as np
 
 #: White space as the tokenizers' patterns take it (fixed values: Unicode White_Space).
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -19,6 +23,12 @@ _A = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BYTE_PIECES = re.compile(rf" ?[{_A}]++(?![^,.{_WS}]|[,.][^{_WS}])|(?<=[{_A}])[,.](?![^{_WS}])| ?[^{_WS}]++|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: The word tokenizer drops white space.
 _WORD_PIECES = re.compile(rf"[{_A}]++(?![^,.\t-\r ]|[,.][^\t-\r ])|(?<=[{_A}])[,.](?![^\t-\r ])|[^\t-\r ]++")
+_LETTERS = re.compile(f"[{_A}]+")
+#: Both tokenizers cut between letters and signs; an apostrophe may begin an ending.
+_SIGNS_LAST = re.compile(rf"([{_A}]+)([!-&(-/:-@\[-`{{-~]+)")
+#: How byte-level models write bytes: printable ones as they are, the others from code 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTED)))}
 _MAX_KEPT = 1_000_000
 _LONG_PIECE = 200
 _GROUP = 500
@@ -27,59 +37,108 @@ BATCH_CHARS = 6_000_000
 
 
 class Encoder:
-    """Encodes texts as little-endian unsigned 32-bit ids. `path` is the tokenizer's file."""
+    """Encodes texts as little-endian unsigned 32-bit ids. `path` is the tokenizer's file.
+
+    `known` holds the ids of keys seen before. With a byte-level tokenizer a key
+    is a word that follows a space, or "\\n" and a word (both are encoded), or
+    "\\t" and a piece that stands for itself; else it is a piece. A text of words
+    between single spaces and line feeds is cut by str.split, any other by `pieces`.
+    Only words not seen before are cut, at signs after Latin letters.
+    """
 
-    def __init__(self, path: str, pieces: re.Pattern, lower: bool = False):
+    def __init__(self, path: str, pieces: re.Pattern, spaced: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.pieces, self.lower = pieces, lower
-        # The end-of-text string is a mark between pieces, so that many go in one call.
-        self.marking = Tokenizer.from_file(path)
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.marking.token_to_id(self.mark)
-        self.kept: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces; those that could hold part of the mark go one by one."""
-        import numpy as np
-
-        apart = [x for x in new if "<|" in x or "|>" in x]
-        plain = [x for x in new if "<|" not in x and "|>" not in x]
-        groups = [plain[i : i + _GROUP] for i in range(0, len(plain), _GROUP)]
-        out = {}
-        if apart:
-            self.marking.encode_special_tokens = True  # in these pieces the string is ordinary text
-            out = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(apart, self.marking.encode_batch_fast(apart, add_special_tokens=False), strict=True)}
-            self.marking.encode_special_tokens = False
-        for group in groups:
-            ids = np.array(self.marking.encode_batch_fast([self.mark.join(group)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            data, at = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            if len(at) != len(group) + 1:
-                raise ValueError("a tokenizer put out marks that were not put in")
-            out.update((x, data[4 * i + 4 : 4 * j]) for x, i, j in zip(group, at, at[1:]))
+        self.pieces, self.spaced = pieces, spaced
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A mark between words, so that many go in one call. It has one id, which no text without it has.
+        self.mark, self.within = ("\n", "<|endoftext|>") if spaced else (" | ", "|")
+        (self.mark_id,) = self.model.encode(self.mark, add_special_tokens=False).ids
+        self.model.encode_special_tokens = False
+        self.line = self.mark_id.to_bytes(4, "little") if spaced else b""
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, encoded alone."""
+        self.model.encode_special_tokens = True
+        out = [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model.encode_special_tokens = False
         return out
 
+    def _learn(self, keys: set[str]) -> None:
+        """Adds keys that are one piece to `known`. Words of Latin letters go to the tokenizer's merges directly."""
+        known, merge, after = self.known, self.model.model.tokenize, " ".translate(_BYTES) if self.spaced else ""
+        apart, plain = [], []
+        for k in keys:
+            lead = k[0] if self.spaced and k[0] in "\t\n" else ""
+            x = k[1:] if lead else k
+            if (x.isascii() and x.isalpha() or _LETTERS.fullmatch(x)) and (self.spaced or x.islower()):
+                seen = x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES)
+                ids = [t.id for t in merge(seen if lead else after + seen)]
+                known[k] = struct.pack(f"<{len(ids)}I", *ids) if lead != "\n" else self.line + struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                (apart if self.within in x or x.isspace() else plain).append((k, x if lead or not self.spaced else f" {x}"))
+        done = list(zip(apart, self._ids([x for _, x in apart]))) if apart else []
+        for i in range(0, len(plain), _GROUP):
+            group = plain[i : i + _GROUP]
+            ids = np.array(self.model.encode_batch_fast([self.mark.join([x for _, x in group])], add_special_tokens=False)[0].ids, "<u4")
+            at = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            if len(at) == len(group) + 1:
+                data = ids.tobytes()
+                done += [(x, data[4 * i + 4 : 4 * j]) for x, i, j in zip(group, at, at[1:])]
+            else:
+                done += zip(group, self._ids([x for _, x in group]))
+        known.update((k, self.line + v if self.spaced and k[0] == "\n" else v) for (k, _), v in done)
+
+    def _parts(self, key: str) -> list[str]:
+        """The keys of a key's pieces: letters and the signs after them, which no tokenizer merges, or the key."""
+        if key[-1].isalpha():
+            return [key]
+        lead = key[0] if self.spaced and key[0] in "\t\n" else ""
+        m = _SIGNS_LAST.fullmatch(key, len(lead))
+        return [lead + m[1], ("\t" if self.spaced else "") + m[2]] if m else [key]
+
+    def _keys(self, text: str) -> list[str]:
+        """Keys of a text in order, the first with a line feed before it where the tokenizer is byte-level."""
+        found = text.split()
+        blank = len(text) - sum(map(len, found))
+        if not self.spaced:
+            return found if blank == sum(map(text.count, "\t\n\v\f\r ")) else self.pieces.findall(text)
+        lines = text.count("\n")
+        if found and blank == len(found) - 1 == lines + text.count(" "):
+            if lines:
+                return f"\n{text}".replace("\n", " \n").split(" ")[1:]
+            found[0] = "\n" + found[0]
+            return found
+        return ["\t\n", *(x[1:] if x[0] == " " and not x.isspace() else "\t" + x for x in self.pieces.findall(text))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Pieces over _LONG_PIECE characters aren't kept."""
-        parts = [self.pieces.findall(_lowered(x) if self.lower else x) for x in texts]
-        need = set()
-        for x in parts:
-            need.update(x)
-        new = sorted(need.difference(self.kept))
-        known = self.kept
-        if new:
-            fresh = self._learn(new)
-            if len(known) + len(fresh) > _MAX_KEPT:
-                self.kept = known = {x: known[x] for x in need if x in known}
-            known |= fresh
-        out = [b"".join(map(known.__getitem__, x)) for x in parts]
-        if new:
-            for x in new:
-                if len(x) > _LONG_PIECE:
-                    del known[x]
-        return out
+        """The ids of each text. Words over _LONG_PIECE characters aren't kept."""
+        get, got, missing = self.known.get, [], []
+        for text in texts:
+            keys = self._keys(text if self.spaced else _lowered(text))
+            ids = list(map(get, keys))
+            if at := [i for i, x in enumerate(ids) if x is None]:
+                missing.append((ids, at, [keys[i] for i in at]))
+            got.append(ids)
+        new = set().union(*(x for _, _, x in missing))
+        if len(self.known) + len(new) > _MAX_KEPT:  # the oldest are the commonest
+            self.known = dict(islice(self.known.items(), _MAX_KEPT // 2))
+        known = self.known
+        cut = {x: parts for x in new if len(parts := self._parts(x)) > 1}
+        parts = {y for x in cut.values() for y in x}
+        self._learn((new - cut.keys() | parts) - known.keys())
+        known.update((x, b"".join([known[y] for y in ys])) for x, ys in cut.items())
+        for ids, at, keys in missing:
+            for i, x in zip(at, keys):
+                ids[i] = known[x]
+        for x in new | parts:
+            if len(x) > _LONG_PIECE:
+                del known[x]
+        lead = len(self.line)
+        return [b"".join(x)[lead:] for x in got]
 
 
 def _lowered(text: str) -> str:
@@ -91,20 +150,20 @@ def _lowered(text: str) -> str:
     return text.lower()
 
 
-_LOADED: dict[tuple[str, str], Encoder] = {}
+_LOADED: dict[tuple[str, bool], Encoder] = {}
 
 
-def _load(kind: str, path: str, pieces: re.Pattern) -> Encoder:
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = Encoder(path, pieces, kind == "word")
-    return _LOADED[kind, path]
+def _load(path: str, pieces: re.Pattern, spaced: bool) -> Encoder:
+    if (path, spaced) not in _LOADED:
+        _LOADED[path, spaced] = Encoder(path, pieces, spaced)
+    return _LOADED[path, spaced]
 
 
 def byte_encoder(path: str) -> Encoder:
     """Byte-level BPE; one encoder for each worker process."""
-    return _load("byte", path, _BYTE_PIECES)
+    return _load(path, _BYTE_PIECES, True)
 
 
 def word_encoder(path: str) -> Encoder:
     """BPE over lower-case words; one encoder for each worker process."""
-    return _load("word", path, _WORD_PIECES)
+    return _load(path, _WORD_PIECES, False)
