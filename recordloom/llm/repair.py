@@ -40,6 +40,10 @@ BLOCK_IDS = 1 << 20
 ROUNDS, LEAST_USES, SLOTS = 3, 24, 1 << 18
 
 
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
+
+
 def compress(seq: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_USES) -> tuple[np.ndarray, list[np.ndarray]]:
     """Symbols and, per round, the rules (pairs of symbols) of a sequence of ids.
 
@@ -51,15 +55,23 @@ def compress(seq: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, least: int
         if len(seq) < 2:
             break
         a, b = seq[:-1], seq[1:]
-        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
+        slot = _slots(a, b)
         slot[last[:-1]] = 0
         counts = np.bincount(slot, minlength=SLOTS)
         counts[0] = 0
         often = np.flatnonzero((counts >= least)[slot])
         key = a[often].astype(np.uint64) << np.uint64(32) | b[often]
-        pairs, inverse, uses = np.unique(key, return_inverse=True, return_counts=True)
-        good = uses >= least
-        at, rule = often[good[inverse]], inverse[good[inverse]]
+        ordered = np.sort(key)
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[: len(ordered)]
+        uses = np.diff(np.append(first, len(ordered)))
+        pairs, uses = ordered[first[uses >= least]], uses[uses >= least]
+        # a pair is found again by its slot, whose most frequent pair comes first; others wait for the next round
+        of_slot, by_use = np.full(SLOTS, -1), np.argsort(uses, kind="stable")
+        of_slot[_slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))[by_use]] = by_use
+        rule = of_slot[slot[often]]
+        at, key, rule = often[rule >= 0], key[rule >= 0], rule[rule >= 0]
+        same = pairs[rule] == key
+        at, rule = at[same], rule[same]
         if not len(at):
             break
         # of positions that overlap, every other one from the left
