@@ -2,10 +2,11 @@
 
 A text is the weighted set of its runs of five words (lower case; a text of one
 to four words is one run). Weight: frequency in the text times inverse document
-frequency relative to the text's own median, capped at 1. Being relative keeps
-a group of thousands of near copies from making its whole content look
-unimportant next to each copy's few own words, while a passage that many
-otherwise different texts share still counts for little.
+frequency, relative to that of a run in FULL_SHARE of all documents and capped
+at 1. So a run weighs the same in every text, and fully unless more than
+FULL_SHARE of the documents have it: neither a group of thousands of near copies
+nor a passage that many texts share makes the edits of a copy look larger than
+they are. A passage that most texts share counts for less.
 
 Document frequencies come from a count-min sketch of fixed size over all
 documents; its error is a fixed share of the corpus, so the weights behave
@@ -46,8 +47,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 5
 SAMPLES = BANDS * ROWS
 WIDTH, DEPTH, SLICES, SPREAD = 1 << 21, 2, 64, 32
-#: A run counts fully from this share of the text's median inverse document frequency on.
-FULL_FROM = 0.75
+#: A run counts fully if no more than this share of all documents have it.
+FULL_SHARE = 1 / 3
 PAIRS_PER_SALT = 2_000
 #: Members of a bucket, after the most central, that texts which failed with that one are compared with first.
 PIVOTS = 8
@@ -120,7 +121,7 @@ def weigh(h: np.ndarray, table: np.ndarray, n_docs: int) -> tuple[np.ndarray, np
         return once, np.zeros(0)
     df = np.minimum(*(row[cell] for row, cell in zip(table, _cells(once)))).astype(np.float64)
     idf = np.log1p(n_docs / np.maximum(df, 1))
-    return once, tf * np.minimum(1.0, idf / (FULL_FROM * np.median(idf)))
+    return once, tf * np.minimum(1.0, idf / np.log1p(1 / FULL_SHARE))
 
 
 def _centrality(h: np.ndarray, table: np.ndarray) -> float:

@@ -174,6 +174,24 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted({root(i) for i in range(len(texts))}) and kept[0]["source"] == "s"
 
 
+def test_near_duplicates_of_half_shared_texts(spark):
+    """Copies edited inside or outside a passage that makes up half of a third of the texts."""
+    passage, texts = [f"shared{k}" for k in range(55)], []
+    for i in range(40):
+        own = [f"own{i}x{k}" for k in range(49)]
+        texts.append(own + passage)
+        if i < 10:
+            inside, outside = own + passage, own + passage
+            inside[-3 - i % 2] = f"new{i}"
+            outside[1 + i % 2] = f"new{i}"
+            texts += [inside, outside]
+    texts += [[f"other{i}x{k}" for k in range(100)] for i in range(100)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    sets = [set(zip(*(t[k:] for k in range(5)))) for t in texts]
+    want = {b: min(a for a in range(len(texts)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])) for b in range(len(texts))}
+    assert got == want and len(set(want.values())) == 140
+
+
 def test_near_duplicate_cases(spark, odd):
     got = neardup.classes(odd).collect()
     assert len(got) == odd.count() and {r["class_id"] for r in got if r["doc_id"] in (6, 7)} == {6} and {r["class_id"] for r in got if r["doc_id"] in (1, 2)} == {1}
