@@ -3,7 +3,10 @@
 A page is read into a tree of elements. The article element with the most text
 is the root, else the body. Parts that say by their tag, role, class or id that
 they are menus, headers, footers, sidebars, notices, adverts, forms or comments
-are left out. What else a site repeats is found by counting: subtrees are hashed
+are left out. A class or id says so by a whole name or a fixed compound
+("comment-list", "site-header"), not by any name that has the word in it
+("has-sidebar", "comments-open"), and one that speaks of layout leaves out no
+article or main element and nothing that holds one. What else a site repeats is found by counting: subtrees are hashed
 and counted per host in Spark, once for each different main text (so that copies
 of one page don't make a template of it), and subtrees that recur in many of the
 host's pages are deleted. Inside an article only containers are candidates, not
@@ -49,28 +52,44 @@ ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
-#: Names in class or id that mark a part as no main text (fixed values).
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|banner|promo(?:tion)?|sponsor(?:ed)?|cookies?|consent|gdpr|notices?|popup|modal|overlay|"
-    r"sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|comments?|comment-list|disqus|repl(?:y|ies)|related|recommended|share|sharing|"
-    r"social|newsletter|subscribe|subscription|signup|login|widget|toolbar|pagination|pager|skip|copyright|disclaimer)(?:$|[\s_-])", re.I)
+#: Names in class or id that mark a part as no main text, as a whole name or in a compound below (fixed values).
+_ASIDE = set("ad ads advert adverts advertisement advertising promo promotion sponsor sponsored comment comments disqus reply replies related recommended".split())
+_MARKS = _ASIDE | set(
+    "banner cookie cookies consent gdpr notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
+    "share sharing social newsletter subscribe subscription signup login widget toolbar pagination pager skip copyright disclaimer".split())
+#: What may stand before or after a mark, joined by a hyphen or an underscore.
+_BEFORE = set("site main top bottom left right primary secondary global page web blog cookie cookies gdpr privacy social share post article user mobile sub side".split())
+_AFTER = set("list bar box block section area wrapper wrap container inner links link items item buttons button icons icon form content body text posts post articles stories news notice banner popup modal overlay message menu nav navigation widget widgets slot unit top bottom left right main primary secondary".split())
+#: Headers that belong to the text.
+_TITLES = {f"{x}{sep}header" for x in ("page", "post", "article", "entry", "main") for sep in "-_"}
+
+
+def _marked(value: str) -> set[str]:
+    """The marks among the names of a class or an id."""
+    found = set()
+    for name in value.lower().split():
+        parts = re.split(r"[-_]+", name)
+        at = next((i for i, x in enumerate(parts) if x in _MARKS), None)
+        if at is not None and name not in _TITLES and all(x in _BEFORE for x in parts[:at]) and all(x in _AFTER or x in _MARKS for x in parts[at + 1 :]):
+            found.add(parts[at])
+    return found
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "main")
+    __slots__ = ("tag", "parent", "items", "drop", "main", "layout")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False, main: bool = False):
-        self.tag, self.parent, self.items, self.drop, self.main = tag, parent, [], drop, main
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, main: bool = False, layout: bool = False):
+        self.tag, self.parent, self.items, self.drop, self.main, self.layout = tag, parent, [], drop, main, layout
 
 
-def _flags(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the element is left out, and whether it is marked as main text."""
-    drop, main = tag in DROPPED, tag in ("article", "main")
+def _flags(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the element is left out, whether it is marked as main text, and whether it is left out only unless it holds main text."""
+    drop, main, names = tag in DROPPED, tag in ("article", "main"), set()
     if attributes.strip(" /"):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                drop |= tag not in ("html", "body", "main") and bool(_MARKS.search(value)) and not (tag in HEADINGS)
+                names |= _marked(value) if tag not in ("html", "body", "main", *HEADINGS) else set()
             elif name == "role":
                 drop |= value.lower() in ROLES
                 main |= value.lower() in ("main", "article")
@@ -80,7 +99,11 @@ def _flags(tag: str, attributes: str) -> tuple[bool, bool]:
                 drop |= tag not in ("html", "body")
             elif name == "style":
                 drop |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-    return drop, main and not drop
+    layout = not drop and bool(names) and not names & _ASIDE
+    if main and layout:
+        return False, True, False
+    drop |= bool(names)
+    return drop, main and not drop, layout
 
 
 def parse(html: str) -> Node:
@@ -122,9 +145,13 @@ def parse(html: str) -> Node:
             while node is not None and node.tag in ENDS[tag]:
                 here = node.parent
                 node = node.parent
-        drop, main = _flags(tag, attributes)
-        node = Node(tag, here, drop, main)
+        node = Node(tag, here, *_flags(tag, attributes))
         here.items.append(node)
+        if node.main:  # what holds main text isn't left out for its name
+            over = here
+            while over is not None and over.tag != "article":
+                over.drop &= not over.layout
+                over = over.parent
         if tag not in VOID and not attributes.endswith("/"):
             here = node
     if at < len(html):

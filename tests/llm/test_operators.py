@@ -100,6 +100,18 @@ def test_page_text(spark):
     assert text("<article><p>x</article><!-- open <p>lost") == "x"
 
 
+def test_layout_names_keep_the_article():
+    text = lambda h: "\n".join(pages.walk(*pages.main_node(pages.parse(h))))
+    for wrapper in ("layout has-sidebar", "no-sidebar", "content comments-open", "sidebar", "page with-menu header-fixed"):
+        assert text(page(f"<div class='{wrapper}'><article><p>story</p></article></div>")[1]) == "story"
+    for own in ("post share-enabled", "post comments-open", "entry widget"):
+        assert text(page(f"<article class='{own}'><div class='entry-header'><h1>Title</h1></div><p>story</p></article>")[1]) == "Title\nstory"
+    for part in ("comments", "comment-list", "site-footer", "cookie-banner", "sidebar widget-area", "related-posts", "share_buttons"):
+        assert text(page(f"<article><p>story</p><div class='{part}'>x</div></article>")[1]) == "story"
+        assert text(page(f"<div><p>story</p></div><div id='{part}'>x</div>")[1]) == "story"
+    assert text(page("<article><p>story</p><div class='comments'><article>reply</article></div></article>")[1]) == "story"
+
+
 def test_site_templates(spark):
     rows = [(i, *page(f"<div class='x1'>Our daily promise to you</div><div class='x2'><p>{prose(i, 30)}</p></div>")) for i in range(12)] + [(99, None, None), (100, "http://b.example/", "<p>alone</p>")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, text int")
