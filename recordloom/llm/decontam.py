@@ -3,12 +3,12 @@
 Words lose case and outer signs, and numbers, units after numbers and names
 (capitalised words inside a sentence) become typed placeholders. Runs of
 WINDOW template words of the benchmark are hash-joined to those of all
-documents. Matches on one diagonal (place in the document less place in the
-item) are one alignment; in it the slots must be consistent: each number, unit
-or name of the item stands for one value in the document throughout. So the
-verbatim question is found, and so is one with other numbers and names, but
-not chance agreement. A document is contaminated by an item of which consistent
-alignments cover at least COVERAGE.
+documents. In a window the slots must be consistent: each number, unit or name
+of the item stands for one value in the document. So the verbatim question is
+found, and so is one with other numbers and names, but not chance agreement. A
+window that conflicts is left out alone: one value may play independent roles in
+an item, and its other windows still count. A document is contaminated by an
+item of which consistent windows cover at least COVERAGE.
 
 The documents' windows are first tried against a bitmap of the benchmark's, of
 fixed size, and only those that hit it are joined; false hits go in the join.
@@ -100,7 +100,7 @@ class Template:
         return [f"{self.kind[i]}:" + self.low[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "replace") for i in range(at, at + n) if self.kind[i]]
 
 
-_HIT = "hash long, place int, slots array<string>"
+_HIT = "hash long, slots array<string>"
 
 
 def benchmark_windows(bench: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
                 out += [(item, len(at), n, x, p - lo, t.slots(p, n)) for x, p in zip(h.tolist(), at.tolist())]
             yield pd.DataFrame(out, columns=["item_id", "total", "n", "hash", "place", "slots"])
 
-    return bench.select("item_id", "text").mapInPandas(cut, f"item_id {kind}, total int, n int, {_HIT}")
+    return bench.select("item_id", "text").mapInPandas(cut, f"item_id {kind}, total int, n int, hash long, place int, slots array<string>")
 
 
 def _bitmap(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -177,18 +177,16 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
                     hit = table[_slot(h)]
                     for x, p in zip(h[hit].view(np.int64).tolist(), at[hit].tolist()):
                         d = t.owner[p]
-                        out.append((nodes[lo + d], x, int(p - t.first[d]), t.slots(p, n)))
-                yield pd.DataFrame(out, columns=["node", "hash", "place", "slots"])
+                        out.append((nodes[lo + d], x, t.slots(p, n)))
+                yield pd.DataFrame(out, columns=["node", "hash", "slots"])
 
     texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
     hits = texts.mapInPandas(probe, f"node binary, {_HIT}").distinct()
     pairs = hits.join(windows.select("item_id", "total", "hash", F.col("place").alias("at"), F.col("slots").alias("asked")), "hash")
-    pairs = materialise(pairs.select("node", "item_id", "total", "at", (F.col("place") - F.col("at")).alias("diagonal"), F.arrays_zip(F.col("asked").alias("asked"), F.col("slots").alias("slots")).alias("slots")))
-    line = ["node", "item_id", "diagonal"]
-    slots = pairs.select(*line, F.explode("slots").alias("s")).select(*line, F.col("s.asked").alias("asked"), F.col("s.slots").alias("found")).distinct()
-    uneven = slots.groupBy(*line, "asked").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("asked") != F.col("found")).alias("changed")).groupBy(*line).agg(F.max("n").alias("n"), F.max("changed").alias("changed"))
-    lines = pairs.join(uneven, line, "left").where(F.coalesce("n", F.lit(1)) == 1)
-    found = lines.groupBy("node", "item_id").agg(F.countDistinct("at").alias("seen"), F.max("total").alias("total"), F.max(F.coalesce("changed", F.lit(False))).alias("changed"))
+    pairs = pairs.select("node", "item_id", "total", "at", F.arrays_zip("asked", "slots").alias("pair"), (F.col("asked") != F.col("slots")).alias("changed"))
+    even = F.size(F.array_distinct("pair")) == F.size(F.array_distinct(F.col("pair.asked")))
+    held = materialise(pairs.where(even).groupBy("node", "item_id", "at").agg(F.max("total").alias("total"), F.min("changed").alias("changed")))
+    found = held.groupBy("node", "item_id").agg(F.count(F.lit(1)).alias("seen"), F.max("total").alias("total"), F.max("changed").alias("changed"))
     return found.select("node", "item_id", (F.col("seen") / F.col("total")).alias("coverage"), F.when(F.col("changed"), "rewritten").otherwise("verbatim").alias("kind")).where(F.col("coverage") >= COVERAGE)
 
 

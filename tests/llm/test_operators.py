@@ -254,6 +254,20 @@ def test_decontamination(spark, odd):
     assert decontam.contaminated(odd, bench.limit(0)).count() == 0 and decontam.clean(odd, bench).count() == odd.count()
 
 
+def test_decontamination_by_window(spark):
+    """A value that meets two values costs only the windows that hold both."""
+    item = "On the first market day the old farmer sold 5 baskets of red apples to the baker who lives near the river and later that afternoon sold 5 baskets of green pears to the young teacher from the village school"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(1, item.replace("sold 5", "sold 7", 1)), (2, item.replace("5 baskets of red", "7 baskets of red").replace("5 baskets of green", "9 baskets of green")), (3, prose(3)), (4, item)]
+    got = {r["doc_id"]: (r["kind"], r["coverage"]) for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {1: ("rewritten", 1.0), 2: ("rewritten", 1.0), 4: ("verbatim", 1.0)}
+    close = "Tell us how much money is left when we pay for 5 apples and 5 pears at the market on a sunny day with friends from the town"
+    bench = spark.createDataFrame([(1, close)], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["kind"], round(r["coverage"], 3)) for r in decontam.contaminated(docs(spark, [(1, close.replace("5 pears", "9 pears"))]), bench).collect()}
+    n = len(close.split()) - 7
+    assert got == {1: ("rewritten", round((n - 5) / n, 3))}
+
+
 @pytest.mark.parametrize("name,make", [("byte_bpe_50k.json", tokens.byte_encoder), ("word_bpe_49k.json", tokens.word_encoder)])
 def test_encoders_equal_the_library(name, make):
     from tokenizers import Tokenizer
