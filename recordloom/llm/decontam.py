@@ -1,7 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose case and outer signs, and numbers, units after numbers and names
-(capitalised words inside a sentence) become typed placeholders. Runs of
+(capitalised words inside a sentence) become typed placeholders. Case and place
+may hide a name or feign one, so a window with names also stands with these as
+literal words, and a window with a capitalised start of a sentence also with
+that as a name; two windows match if any of their forms do. Runs of
 WINDOW template words of the benchmark are hash-joined to those of all
 documents. In a window the slots must be consistent: each number, unit or name
 of the item stands for one value in the document. So the verbatim question is
@@ -54,7 +57,10 @@ def _unit_hashes() -> np.ndarray:
 
 
 class Template:
-    """Template words of some texts: hash, type (0 literal, 1 number, 2 name, 3 unit), bounds and text."""
+    """Template words of some texts: hash, type (0 literal, 1 number, 2 name, 3 unit), bounds and text.
+
+    Form 0 has names inside sentences as placeholders, form 1 none, form 2 those that begin a sentence too.
+    """
 
     def __init__(self, texts: list[str]):
         b = words.batch(texts, hashed=False)
@@ -74,32 +80,42 @@ class Template:
             breaks = upto(b.codes == 10)
             stops = np.isin(last_sign[:-1], [33, 46, 58, 63])
             fresh[1:] = (owner[1:] != owner[:-1]) | stops | (breaks[start[1:]] > breaks[end[:-1]])
-        name = ~number & ~fresh & (kinds[start] == 1) & (count(upper) == 1) & (n_letters > 1)
+        capital = ~number & (kinds[start] == 1) & (count(upper) == 1) & (n_letters > 1)
         unit = np.zeros(len(start), bool)
         unit[1:] = number[:-1] & (owner[1:] == owner[:-1]) & np.isin(h[1:], _unit_hashes())
-        self.kind = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0)))
-        self.hash = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
+        fixed = np.where(number, 1, np.where(unit, 3, 0))
+        self.kinds, self.hashes = [], []
+        for name in (capital & ~fresh, np.zeros(len(start), bool), capital):
+            self.kinds.append(np.where(fixed > 0, fixed, np.where(name, 2, 0)))
+            self.hashes.append(np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h))))
+        self.differs = [None, *(upto(k != self.kinds[0]) for k in self.kinds[1:])]
         self.start, self.end, self.owner = start, end, owner
         self.first = np.searchsorted(owner, np.arange(len(texts) + 1))
-        self.slots_upto = upto(self.kind > 0)
+        self.slots_upto = [upto(k > 0) for k in self.kinds]
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first word of every run of n template words inside a text."""
-        k = len(self.hash) - n + 1
+    def windows(self, n: int, form: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first word of every run of n template words inside a text; of form 1 and 2, where they differ from form 0."""
+        word = self.hashes[form]
+        k = len(word) - n + 1
         if k <= 0:
             return np.zeros(0, U), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.owner[:k] == self.owner[n - 1 :])
+        inside = self.owner[:k] == self.owner[n - 1 :]
+        if form:
+            inside &= self.differs[form][n : n + k] > self.differs[form][:k]
+        at = np.flatnonzero(inside)
         h = np.full(len(at), n, U)
         for i in range(n):
-            h = (h + self.hash[at + i]) * U(0x2545F4914F6CDD1D)
+            h = (h + word[at + i]) * U(0x2545F4914F6CDD1D)
             h ^= h >> U(32)
         return words.mix(h), at
 
-    def slots(self, at: int, n: int) -> list[str]:
+    def slots(self, at: int, n: int, form: int = 0) -> list[str]:
         """Type and text of each slot of a window, in order."""
-        return [f"{self.kind[i]}:" + self.low[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "replace") for i in range(at, at + n) if self.kind[i]]
+        kind = self.kinds[form]
+        return [f"{kind[i]}:" + self.low[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "replace") for i in range(at, at + n) if kind[i]]
 
 
+FORMS = range(3)
 _HIT = "hash long, slots array<string>"
 
 
@@ -109,20 +125,29 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out, t = [], Template(strings(pdf["text"]))
+            out, t, cut_at = [], Template(strings(pdf["text"])), {}
             for i, item in enumerate(pdf["item_id"].tolist()):
                 lo, size = t.first[i], t.first[i + 1] - t.first[i]
                 n = int(min(WINDOW, size))
                 if n < MIN_WORDS:
                     continue
-                h, at = t.windows(n)
-                mine = (at >= lo) & (at < t.first[i + 1])
-                h, at = h[mine].view(np.int64), at[mine]
-                literal = n - (t.slots_upto[at + n] - t.slots_upto[at])
-                good = 2 * literal >= n
-                if good.any():
-                    h, at = h[good], at[good]
-                out += [(item, len(at), n, x, p - lo, t.slots(p, n)) for x, p in zip(h.tolist(), at.tolist())]
+                total, whole = 0, None
+                for form in FORMS:
+                    if (n, form) not in cut_at:
+                        cut_at[n, form] = t.windows(n, form)
+                    h, at = cut_at[n, form]
+                    mine = slice(*np.searchsorted(at, (lo, t.first[i + 1])))
+                    h, at = h[mine].view(np.int64), at[mine]
+                    upto = t.slots_upto[form]
+                    good = 2 * (n - (upto[at + n] - upto[at])) >= n
+                    if not form:
+                        if good.any():
+                            h, at = h[good], at[good]
+                        total, whole = len(at), at
+                    else:  # the same windows in another form
+                        good &= np.isin(at, whole)
+                        h, at = h[good], at[good]
+                    out += [(item, total, n, x, p - lo, t.slots(p, n, form)) for x, p in zip(h.tolist(), at.tolist())]
             yield pd.DataFrame(out, columns=["item_id", "total", "n", "hash", "place", "slots"])
 
     return bench.select("item_id", "text").mapInPandas(cut, f"item_id {kind}, total int, n int, hash long, place int, slots array<string>")
@@ -173,11 +198,11 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
             for lo, hi in words.chunks(texts):
                 t, out = Template(texts[lo:hi]), []
                 for n in sizes:
-                    h, at = t.windows(n)
-                    hit = table[_slot(h)]
-                    for x, p in zip(h[hit].view(np.int64).tolist(), at[hit].tolist()):
-                        d = t.owner[p]
-                        out.append((nodes[lo + d], x, t.slots(p, n)))
+                    for form in FORMS:
+                        h, at = t.windows(n, form)
+                        hit = table[_slot(h)]
+                        for x, p in zip(h[hit].view(np.int64).tolist(), at[hit].tolist()):
+                            out.append((nodes[lo + t.owner[p]], x, t.slots(p, n, form)))
                 yield pd.DataFrame(out, columns=["node", "hash", "slots"])
 
     texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")

@@ -268,6 +268,19 @@ def test_decontamination_by_window(spark):
     assert got == {1: ("rewritten", round((n - 5) / n, 3))}
 
 
+def test_decontamination_of_names(spark):
+    """Names are found in lower and upper case, at the start of a sentence, and feigned ones in a quotation."""
+    items = [
+        (1, "The old teacher asked Maria whether the seven books that Peter left on the table near Sofia were new or had been read by Anton before"),
+        (2, "Tom has 5 red apples today. Tom gives 2 of them away."),
+        (3, "Explain how rivers shape the land"),
+    ]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(1, items[0][1].lower()), (2, items[0][1].upper()), (3, "Ann has 9 red apples today. Ann gives 4 of them away."), (4, "then we were asked to Explain how rivers shape the land and wrote it down"), (5, prose(5)), (6, "Tom has 5 red apples today. Ann gives 2 of those to the school.")]
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["coverage"]) for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1): ("verbatim", 1.0), (2, 1): ("verbatim", 1.0), (3, 2): ("rewritten", 1.0), (4, 3): ("verbatim", 1.0)}
+
+
 @pytest.mark.parametrize("name,make", [("byte_bpe_50k.json", tokens.byte_encoder), ("word_bpe_49k.json", tokens.word_encoder)])
 def test_encoders_equal_the_library(name, make):
     from tokenizers import Tokenizer
