@@ -59,10 +59,8 @@ RULES = [
     Rule("long_words", "word_chars", "n_words", 9.0, 14.0),
 ]
 
-_MAX_CODE = 0x3000
-_KIND = np.zeros(_MAX_CODE, np.uint8)
-_KIND[[i for i in range(_MAX_CODE) if chr(i).isalpha()]] |= 1
-_KIND[[i for i in range(_MAX_CODE) if chr(i).isupper()]] |= 2
+#: Kinds of every code point: 1 a letter, 2 upper case, 4 a symbol.
+_KIND = np.frombuffer(bytes(chr(i).isalpha() | chr(i).isupper() << 1 for i in range(0x110000)), np.uint8).copy()
 _KIND[[ord(c) for c in SYMBOLS]] |= 4
 
 
@@ -84,7 +82,7 @@ def _later_copies(key: np.ndarray) -> np.ndarray:
 def _count_chunk(texts: list[str]) -> np.ndarray:
     n, b = len(texts), words.batch(texts)
     tag = words.mix(np.arange(1, n + 1))
-    kind = _KIND[np.minimum(b.codes, _MAX_CODE - 1)]
+    kind = _KIND[b.codes]
     upto = lambda mask: np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
     inside = lambda mask: np.diff(upto(mask)[b.bounds])
     length = b.ends - b.starts

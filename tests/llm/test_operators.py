@@ -68,6 +68,17 @@ def test_quality_model_separates():
     assert (p[:200] > 0.5).all() and (p[200:] < 0.5).all()
 
 
+def test_quality_of_letters_beyond_the_first_table():
+    r = random.Random(5)
+    korean = [" ".join("".join(chr(r.randint(0xAC00, 0xD7A3)) for _ in range(r.randint(2, 4))) for _ in range(80)) for _ in range(20)]
+    other = [" ".join("".join(chr(first + r.randint(0, 20)) for _ in range(3)) for _ in range(80)) for first in (0x4E00, 0x3042, 0x20000, 0x1F600)]
+    counts = quality_rules.count_texts(korean + other)
+    assert counts[:, quality_rules.COUNTS.index("n_bare")].tolist() == [0] * 23 + [80]
+    v = quality_rules.votes(np.concatenate((counts[:20], quality_rules.count_texts([prose(i, 200) for i in range(200)]))))
+    ids, n = np.unique(quality_rules.pattern_ids(v), return_counts=True)
+    assert (quality_rules.posterior(v, quality_rules.fit(ids, n.astype(float)))[:20] > 0.5).all()
+
+
 def test_lm_scores(spark, odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] != 5]
     got = sorted(lm.scores(odd.where("doc_id is null or doc_id <> 5")).collect(), key=lambda r: (r["doc_id"] or 0, r["n_tokens"]))
