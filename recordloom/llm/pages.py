@@ -12,9 +12,11 @@ of one page don't make a template of it), and subtrees that recur in many of the
 host's pages are deleted. Inside an article only containers are candidates, not
 its paragraphs: a passage that many articles quote is part of them.
 
-A host's list of templates is bounded: a subtree must occur in SHARE of its
-pages. It is broadcast if all lists together are under BROADCAST_BYTES, else
-joined by host.
+A template occurs in MIN_PAGES pages of its host and in SHARE of them, which is
+small, so that rotating notices and those of a section count. The hosts' lists
+are broadcast if none is longer than LONGEST and all are under BROADCAST_BYTES;
+else the pages' subtrees are joined to the templates by host and hash, and a page
+gets those of its own.
 
 Defined cases: null html counts as empty; a page without tags is its text; a
 null url is a host of its own; equal pages get the same text; an empty table
@@ -33,8 +35,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, strings
 
-MIN_PAGES, SHARE = 5, 0.3
-BROADCAST_BYTES = 16 << 20
+MIN_PAGES, SHARE = 5, 0.01
+BROADCAST_BYTES, LONGEST = 16 << 20, 500
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -235,33 +237,47 @@ def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("\x00"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host and the hashes of its template subtrees."""
+def _node(html):
+    return F.unhex(F.md5(F.coalesce(html, F.lit(""))))
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """host, node (digest of the html), sig (digest of the main text) and candidate hashes of every page."""
 
     def hash_page(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for host, html in zip(pdf["host"], strings(pdf["html"])):
+            for host, at, html in zip(pdf["host"], pdf["node"], strings(pdf["html"])):
                 found: set[int] = set()
                 node, marked = main_node(parse(html))
                 text = "\n".join(walk(node, marked, hashes=found))
-                out.append((host, _digest(text), sorted(found)))
-            yield pd.DataFrame(out, columns=["host", "sig", "hashes"])
+                out.append((host, at, _digest(text), sorted(found)))
+            yield pd.DataFrame(out, columns=["host", "node", "sig", "hashes"])
+
+    return pages.select(_host(F.col("url")).alias("host"), _node(F.col("html")).alias("node"), "html").mapInPandas(hash_page, "host string, node binary, sig long, hashes array<long>")
+
 
-    seen = pages.select(_host(F.col("url")).alias("host"), "html").mapInPandas(hash_page, "host string, sig long, hashes array<long>")
-    seen = materialise(seen)
+def templates(seen: DataFrame) -> DataFrame:
+    """host and hash of the template subtrees."""
     totals = seen.select("host", "sig").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counted = seen.select("host", "sig", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    often = counted.join(totals, "host").where((F.col("n") >= MIN_PAGES) & (F.col("n") >= SHARE * F.col("pages")))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
+    return counted.join(totals, "host").where((F.col("n") >= MIN_PAGES) & (F.col("n") >= SHARE * F.col("pages"))).select("host", "hash")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    lists = materialise(templates(pages))
-    size = lists.agg(F.sum(F.length("host") + 8 * F.size("templates"))).first()[0] or 0
-    rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    joined = rows.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "host", "left")
+    seen = materialise(subtrees(pages))
+    found = materialise(templates(seen))
+    sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    size, longest = sizes.agg(F.sum(F.length("host") + 8 * F.col("n")), F.max("n")).first()
+    rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), _node(F.col("html")).alias("node"))
+    if (size or 0) <= BROADCAST_BYTES and (longest or 0) <= LONGEST:
+        lists = found.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
+        joined = rows.join(F.broadcast(lists), "host", "left")
+    else:
+        own = seen.select("host", "node", "hashes").dropDuplicates(["host", "node"]).select("host", "node", F.explode("hashes").alias("hash"))
+        own = own.join(found, ["host", "hash"]).groupBy("host", "node").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
+        joined = rows.join(own, ["host", "node"], "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -131,6 +131,17 @@ def test_site_templates(spark):
     assert got[99]["text"] == "" and got[100]["text"] == "alone" and pages.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limits", [(16 << 20, 500), (0, 500), (16 << 20, 2)])
+def test_rotating_templates(spark, monkeypatch, limits):
+    """Six notices in turn, each on a sixth of the pages, by either join."""
+    monkeypatch.setattr(pages, "BROADCAST_BYTES", limits[0], raising=False)
+    monkeypatch.setattr(pages, "LONGEST", limits[1], raising=False)
+    rows = [(i, *page(f"<article><div class='x'>Notice {i % 6} of the house</div><p>{prose(i, 30)}</p></article>")) for i in range(48)]
+    rows += [(100, "http://b.example/", "<article><div>Notice 1 of the house</div></article>"), rows[0], (None, rows[1][1], rows[1][2]), (101, None, None)]
+    got = {(r["page_id"], r["text"]) for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {(i, prose(i, 30)) for i in range(48)} | {(100, "Notice 1 of the house"), (None, prose(1, 30)), (101, "")}
+
+
 def base_secrets(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
