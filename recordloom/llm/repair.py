@@ -2,9 +2,9 @@
 
 Documents are dealt by ranges of doc_id and sorted, encoded, and put into
 blocks. In each block frequent pairs of ids are replaced by nonterminals,
-round after round: a round counts all adjacent pairs, takes the frequent ones
-and replaces their occurrences from left to right. No pair crosses the end of a
-document. A block stores its rules, the expansion length of each rule and the
+round after round, until no pair has LEAST_USES uses: a round counts all
+adjacent pairs, takes the frequent ones and replaces their occurrences from left
+to right. No pair crosses the end of a document. A block stores its rules, the expansion length of each rule and the
 place of each document, so that one document, or a range of its ids, can be
 decoded alone. Blocks are rows of a Parquet table written by Spark, so any
 storage that Spark writes will do and a lost executor's tasks are simply redone.
@@ -37,23 +37,23 @@ MAGIC, VERSION, HEAD = b"RLRP", 1, "<4sIQQQII"
 END_ID = 2
 FIRST_RULE = 1 << 17
 BLOCK_IDS = 1 << 20
-ROUNDS, LEAST_USES, SLOTS = 3, 24, 1 << 18
+#: Uses from which a pair becomes a rule. A rule costs three words of a block and each use saves one, so rules of few uses
+#: don't pay: with 8 the blocks of the check tool's documents are smallest (README).
+LEAST_USES, SLOTS = 8, 1 << 18
 
 
 def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
 
 
-def compress(seq: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_USES) -> tuple[np.ndarray, list[np.ndarray]]:
+def compress(seq: np.ndarray, last: np.ndarray, least: int = LEAST_USES) -> tuple[np.ndarray, list[np.ndarray]]:
     """Symbols and, per round, the rules (pairs of symbols) of a sequence of ids.
 
     last: True at the last id of each document. Rule i, counted over all rounds,
     is symbol FIRST_RULE + i.
     """
     seq, last, rules, made = seq.astype(np.uint32), last.copy(), [], 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
         slot = _slots(a, b)
         slot[last[:-1]] = 0

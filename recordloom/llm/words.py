@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _POWERS = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
     if len(_POWERS["up"]) < n:
         size = max(n, 1 << 16)
@@ -59,7 +59,7 @@ def code_points(texts: list[str]) -> np.ndarray:
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span codes[start:end], equal for equal content."""
-    up, down = _powers(len(codes) + 1)
+    up, down = powers(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, U)
     np.cumsum((codes.astype(U) + U(1)) * up[: len(codes)], out=sums[1:])
     body = (sums[ends] - sums[starts]) * down[starts]

@@ -308,13 +308,39 @@ def test_encoders_equal_the_library(name, make):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     r = random.Random(1)
-    parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "é", "é", "1", "#", "%%", " ", " ", "\x1c", "\x85", "ΑΣ", "İ", "<|endoftext|>", "😀", "中", "\r\n", "word,", " Word.", "ß", "_"]
+    parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "é", "é", "1", "#", "%%", " ", " ", "\x1c", "\x85", "ΑΣ", "İ", "<|endoftext|>", "<|startoftext|>", "😀", "中", "don't", "(b)", "\r\n", "word,", " Word.", "ß", "_"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(2000)]
+    texts += [" ".join(r.choice(["word,", "Hello", "a.", "été!!", "12", "x-y", "naïve", "(b)", "w" * 300]) for _ in range(r.randint(0, 25))) for _ in range(300)]
     assert make(public_tokenizers.path(name)).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_forgets(monkeypatch):
+    """A table that overflows keeps the older half and gives the same ids."""
+    monkeypatch.setattr(tokens, "_MAX_KEPT", 50)
+    monkeypatch.setattr(tokens, "_CHUNK", 200)
+    texts = [prose(i) for i in range(60)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    few = tokens.Encoder(path, tokens._BYTE_PIECES, True)
+    assert few.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_grammar_is_complete():
+    """No pair is left that occurs LEAST_USES times within documents, and a run of one id shrinks to its logarithm."""
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.integers(0, 6, 4000), np.tile([1, 2, 3, 4, 5], 300), np.full(5000, 7)]).astype(np.uint32)
+    last = np.zeros(len(ids), bool)
+    last[[999, 5000, len(ids) - 1]] = True
+    seq, rules = repair.compress(ids, last)
+    assert (repair.expand(seq, rules) == ids).all() and len(seq) < len(ids) / 5
+    ends = set(np.flatnonzero(last).tolist())
+    upto = np.cumsum(np.where(seq >= repair.FIRST_RULE, repair.rule_lengths(rules)[np.maximum(seq, repair.FIRST_RULE) - repair.FIRST_RULE], 1)) - 1
+    inside = [(a, b) for a, b, e in zip(seq[:-1].tolist(), seq[1:].tolist(), upto.tolist()) if e not in ends]
+    assert max(inside.count(p) for p in set(inside)) < repair.LEAST_USES
+
+
 def test_repair_blocks():
     r, rng = random.Random(3), np.random.default_rng(0)
     for _ in range(60):
