@@ -1,15 +1,20 @@
 """Quality rules by weak supervision.
 
 Each rule looks at a few counts of a text and votes good (1), bad (-1) or
-abstains (0). Expectation-maximisation over the counts of vote patterns
-estimates, for each rule, how often it votes good on good documents and bad on
-those that are bad in its way, with no labels. The posterior probability of good replaces an
-all-must-pass filter. The only thing gathered is one count for each vote
-pattern: at most 3**len(RULES) numbers, whatever the size of the corpus.
+abstains (0). Some rules are sharp, some are weak signals that many good texts
+set off (a short text, few different words); each way of being bad is seen by
+two rules at least. Expectation-maximisation over the counts of vote patterns
+estimates, with no labels, how often each rule votes bad on good and on bad
+documents. Nothing holds a rate within bounds: a rule that votes bad on both
+alike loses its say, and a bad vote is outvoted where the rates say so. The
+posterior probability of good replaces an all-must-pass filter. The only thing
+gathered is one count for each vote pattern: at most 3**len(RULES) numbers,
+whatever the size of the corpus.
 
 Defined cases: a null or empty text has zero words and fails the base rules; an
 empty table gives no rows; repeated rows are scored alike; further columns of
-the input are carried along by `apply` and never read.
+the input are carried along by `apply` unless they have the name of one of its
+own; `keep_good` returns the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from .common import per_owner, strings
 SYMBOLS = "#*$%&|<>"
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_distinct", "n_upper", "n_letters", "n_bare", "n_stressed", "n_short",
+    "n_lines", "n_distinct", "n_upper", "n_letters", "n_bare", "n_stressed", "n_shouted", "n_long",
 ]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A document is kept while its posterior probability of being good is at least this.
@@ -36,9 +41,10 @@ KEEP_AT = 0.5
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad where value > bad, good where value <= good, else abstains.
+    """Votes bad where value is beyond `bad`, good where it is within `good`, else abstains.
 
-    value is a ratio of two counts; where the lower is under `least`, it abstains.
+    value is a ratio of two counts (or one count, without `under`); where the lower is under `least`, the rule
+    abstains. A rule with bad < good votes bad on low values.
     """
 
     name: str
@@ -50,13 +56,17 @@ class Rule:
 
 
 RULES = [
-    Rule("symbols", "n_symbols", "n_words", 0.1, 0.5),
-    Rule("upper_case", "n_upper", "n_letters", 0.25, 0.5),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", 0.1, 0.4, 5),
-    Rule("repeated_windows", "n_repeat_words", "n_words", 0.2, 0.5, 20),
-    Rule("bare_symbols", "n_bare", "n_words", 0.02, 0.2),
-    Rule("stressed_words", "n_stressed", "n_words", 0.1, 0.5),
-    Rule("long_words", "word_chars", "n_words", 9.0, 14.0),
+    Rule("symbols", "n_symbols", "n_words", 0.1, 0.3),
+    Rule("upper_case", "n_upper", "n_letters", 0.1, 0.3),
+    Rule("shouted_words", "n_shouted", "n_words", 0.1, 0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", 0.1, 0.3, 5),
+    Rule("repeated_windows", "n_repeat_words", "n_words", 0.1, 0.3, 20),
+    Rule("bare_symbols", "n_bare", "n_words", 0.02, 0.1),
+    Rule("stressed_words", "n_stressed", "n_words", 0.1, 0.3),
+    Rule("long_words", "word_chars", "n_words", 7.0, 9.0),
+    Rule("very_long_words", "n_long", "n_words", 0.02, 0.1),
+    Rule("few_different", "n_distinct", "n_words", 0.65, 0.55, 50),
+    Rule("short_text", "n_words", "", 150, 80),
 ]
 
 #: Kinds of every code point: 1 a letter, 2 upper case, 4 a symbol.
@@ -110,7 +120,11 @@ def _count_chunk(texts: list[str]) -> np.ndarray:
 
     letters = upto(kind & 1)
     bare = letters[b.ends] == letters[b.starts]
-    stressed = (length > 1) & (b.codes[b.ends - 1] == 33)
+    ups, within = upto(kind & 2 != 0), letters[b.ends] - letters[b.starts]
+    shouted = (within > 1) & (ups[b.ends] - ups[b.starts] == within)
+    last = b.codes[b.ends - 1] if len(b.ends) else b.codes[:0]
+    doubled = (last == b.codes[np.maximum(b.ends - 2, 0)]) & (kind[b.ends - 1] & 1 == 0) & ((last < 48) | (last > 57)) if len(b.ends) else length > 0
+    stressed = (length > 1) & ((last == 33) | doubled)
     return np.stack([
         np.diff(b.first),
         per_owner(b.owner, n, length),
@@ -123,7 +137,8 @@ def _count_chunk(texts: list[str]) -> np.ndarray:
         inside(kind & 1 != 0),
         per_owner(b.owner[bare], n),
         per_owner(b.owner[stressed], n),
-        per_owner(b.owner[length <= 3], n),
+        per_owner(b.owner[shouted], n),
+        per_owner(b.owner[length >= 20], n),
     ], axis=1)
 
 
@@ -136,9 +151,11 @@ def votes(counts: np.ndarray) -> np.ndarray:
     """One column of -1, 0 or 1 for each rule."""
     out = np.zeros((len(counts), len(RULES)), np.int8)
     for j, r in enumerate(RULES):
-        over, under = counts[:, COUNTS.index(r.over)], counts[:, COUNTS.index(r.under)]
+        over = counts[:, COUNTS.index(r.over)]
+        under = counts[:, COUNTS.index(r.under)] if r.under else np.full(len(counts), r.least)
         value = over / np.maximum(under, 1)
-        out[:, j] = np.where(under < r.least, 0, np.where(value > r.bad, -1, np.where(value <= r.good, 1, 0)))
+        bad, good = (value > r.bad, value <= r.good) if r.bad > r.good else (value < r.bad, value >= r.good)
+        out[:, j] = np.where(under < r.least, 0, np.where(bad, -1, np.where(good, 1, 0)))
     return out
 
 
@@ -151,34 +168,22 @@ def _pattern_votes(ids: np.ndarray) -> np.ndarray:
     return (ids[:, None] // 3 ** np.arange(len(RULES)) % 3 - 1).astype(np.int8)
 
 
-def fit(ids: np.ndarray, weight: np.ndarray, rounds: int = 300, prior_bad: float = 0.1, trust: float = 0.02) -> dict:
-    """EM over vote patterns and their counts, for one good class and one bad class per rule.
+def fit(ids: np.ndarray, weight: np.ndarray, rounds: int = 2000, prior_bad: float = 0.1, trust: float = 0.01) -> dict:
+    """EM over vote patterns and their counts, for a good and a bad class, in which rules vote independently.
 
-    A document is bad in one of several ways, so that bad votes aren't independent
-    in a single bad class; bad class j starts as the documents that rule j is
-    right about. bad_vote[k, j] is the probability that rule j, where it votes,
-    votes bad in class k (class 0 is good): row 0 holds the rules' false alarms,
-    the diagonal their sensitivities. Pseudo-votes worth `trust` of all documents
-    hold each rule to its meaning, and a rule is right on good documents at least
-    995 times in 1000.
+    bad_vote[k, j] is the probability that rule j, where it votes, votes bad in class k (0 good, 1 bad). It
+    starts from 0.02 for good and 0.3 for bad documents, which tells the classes apart; pseudo-votes at these
+    rates, worth `trust` of all documents, are the prior.
     """
     v, total, n = _pattern_votes(ids), max(1.0, float(weight.sum())), len(RULES)
-    start = np.full((n + 1, n), 0.05)
-    start[0] = 0.005
-    start[np.arange(n) + 1, np.arange(n)] = 0.95
-    first = np.array([1 - prior_bad, *[prior_bad / n] * n])
-    model, pseudo = {"bad_vote": start, "share": first}, trust * total
+    start, first = np.array([np.full(n, 0.02), np.full(n, 0.3)]), np.array([1 - prior_bad, prior_bad])
+    model, held = {"bad_vote": start, "share": first}, trust * total * first[:, None]
     for _ in range(rounds):
         w = weight[:, None] * _classes(v, model)
         bad, good = w.T @ (v == -1), w.T @ (v == 1)
-        held = np.array([pseudo, *[pseudo / n] * n])[:, None]
         rate = (bad + held * start) / (bad + good + held)
-        rate[0] = np.clip(rate[0], 0.0001, 0.005)
-        rate[1:] = np.clip(rate[1:], 0.001, 0.99)
-        own = np.arange(n)
-        rate[own + 1, own] = np.maximum(rate[own + 1, own], 0.6)
-        share = (w.sum(0) + first * pseudo) / (total + pseudo)
-        done = max(np.abs(rate - model["bad_vote"]).max(), np.abs(share - model["share"]).max()) < 1e-9
+        share = (w.sum(0) + trust * total * first) / (total + trust * total)
+        done = max(np.abs(rate - model["bad_vote"]).max(), np.abs(share - model["share"]).max()) < 1e-10
         model = {"bad_vote": rate, "share": share}
         if done:
             break
@@ -186,7 +191,7 @@ def fit(ids: np.ndarray, weight: np.ndarray, rounds: int = 300, prior_bad: float
 
 
 def _classes(v: np.ndarray, model: dict) -> np.ndarray:
-    """Probability of each hidden class for each row of votes."""
+    """Probability of each class for each row of votes."""
     rate = model["bad_vote"]
     log = (v == -1) @ np.log(rate).T + (v == 1) @ np.log1p(-rate).T + np.log(model["share"])
     p = np.exp(log - log.max(1, keepdims=True))
@@ -215,7 +220,7 @@ def fit_frame(docs: DataFrame, text: str = "text") -> dict:
 def apply(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None, keep_at: float = KEEP_AT) -> DataFrame:
     """Adds the counts, base_failed, p_good and kept to the columns `keep` (all by default)."""
     keep = docs.columns if keep is None else keep
-    clash = set(COUNTS) | {"base_failed", "p_good", "kept"}
+    clash = set(COUNTS) | {"base_failed", "p_good", "kept", "__text"}
     own = [c for c in keep if c not in clash]
     fields = [docs.schema[c] for c in own]
     out = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("base_failed", T.BooleanType()), T.StructField("p_good", T.DoubleType()), T.StructField("kept", T.BooleanType())])
@@ -235,6 +240,18 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
     return apply(docs, fit_frame(docs, text), text, keep, keep_at)
 
 
+def keep_good(docs: DataFrame, text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows that pass the base rules and are good by the posterior, all columns."""
+    model = fit_frame(docs, text)
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts = count_texts(strings(pdf[text]))
+            yield pdf[~base_failed(counts) & (posterior(votes(counts), model) >= keep_at)]
+
+    return docs.mapInPandas(choose, docs.schema)
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 9).alias("p_good"))

@@ -7,8 +7,7 @@ from . import decontam, neardup, packing, pii, quality_rules
 
 def quality(spark, docs, sf_dir):
     """Documents that the quality rules keep."""
-    found = quality_rules.quality_rules(docs)
-    return found.where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs)
 
 
 def near_dedup(spark, docs, sf_dir):

@@ -68,6 +68,49 @@ def test_quality_model_separates():
     assert (p[:200] > 0.5).all() and (p[200:] < 0.5).all()
 
 
+def test_quality_model_against_enumeration():
+    """EM over counts of patterns does what EM over single documents and both classes does, vote by vote."""
+    rng = np.random.default_rng(4)
+    n, k = 80, len(quality_rules.RULES)
+    hidden = rng.random(n) < 0.3
+    v = np.where(rng.random((n, k)) < np.where(hidden, 0.6, 0.1)[:, None], -1, 1) * (rng.random((n, k)) < 0.8)
+    ids, counts = np.unique(quality_rules.pattern_ids(v), return_counts=True)
+    got = quality_rules.fit(ids, counts.astype(float), rounds=7)
+    rate, share, held = [[0.02] * k, [0.3] * k], [0.9, 0.1], [0.01 * n * 0.9, 0.01 * n * 0.1]
+
+    def chances(row):
+        joint = []
+        for c in (0, 1):
+            x = share[c]
+            for j in range(k):
+                x *= rate[c][j] if row[j] == -1 else 1 - rate[c][j] if row[j] == 1 else 1.0
+            joint.append(x)
+        return [x / sum(joint) for x in joint]
+
+    for _ in range(7):
+        w = [chances(row) for row in v]
+        new = [[(sum(x[c] for x, row in zip(w, v) if row[j] == -1) + held[c] * (0.02, 0.3)[c]) / (sum(x[c] for x, row in zip(w, v) if row[j]) + held[c]) for j in range(k)] for c in (0, 1)]
+        share = [(sum(x[c] for x in w) + held[c]) / (n * 1.01) for c in (0, 1)]
+        rate = new
+    assert np.allclose(got["bad_vote"], rate) and np.allclose(got["share"], share)
+    assert np.allclose(quality_rules.posterior(v, got), [chances(row)[0] for row in v])
+
+
+def test_quality_posterior_outvotes_a_weak_rule(spark):
+    """A short text and one with few different words are kept in spite of a bad vote; all-must-pass would drop them."""
+    weak = [prose(i, 60) for i in range(30)]
+    good = [prose(i, 200) for i in range(100, 260)]
+    bad = [" ".join(x + "%%%" for x in prose(i, 200).split()) for i in range(300, 330)]
+    got = [r["kept"] for r in quality_rules.quality_rules(docs(spark, list(enumerate(weak + good + bad)))).orderBy("doc_id").collect()]
+    v = quality_rules.votes(quality_rules.count_texts(weak))
+    assert (v == -1).any(1).all() and all(got[:190]) and not any(got[190:])
+
+
+def test_quality_stage_carries_any_column(spark):
+    df = docs(spark, [(1, prose(1, 90)), (2, None), (3, "")]).selectExpr("doc_id", "text", "doc_id as kept", "text as __text", "source as n_words")
+    assert [tuple(r) for r in quality_rules.keep_good(df).collect()] == [tuple(r) for r in df.where("doc_id = 1").collect()]
+
+
 def test_quality_of_letters_beyond_the_first_table():
     r = random.Random(5)
     korean = [" ".join("".join(chr(r.randint(0xAC00, 0xD7A3)) for _ in range(r.randint(2, 4))) for _ in range(80)) for _ in range(20)]
