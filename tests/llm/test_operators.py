@@ -464,7 +464,7 @@ def base_pii(text):
 
 @pytest.fixture(scope="module")
 def field():
-    return pii.train()
+    return pii.default_model()
 
 
 def test_pii_patterns():
@@ -485,6 +485,67 @@ def test_field_on_held_out_rows(field):
     assert hits >= 54
 
 
+def test_field_is_trained_on_its_table(field):
+    import json
+
+    assert json.loads(pii.FILE.read_text())["table"] == pii._table_hash()
+    few = pii.training_table()[:40]
+    assert pii.train(few, steps=3).weights.shape[1] == len(pii.LABELS)
+
+
+def test_field_on_held_out_sentences(field):
+    table = pii.training_table(21)
+    w = pii.look([" ".join(x) for x, _ in table])
+    w.sentence = w.b.owner
+    got, gold = pii.decode(w, field), np.array([pii.LABELS.index(x) for _, ls in table for x in ls])
+    right = ((got == gold) & (gold > 0)).sum()
+    assert right >= 0.95 * (gold > 0).sum() and right >= 0.95 * (got > 0).sum()
+
+
+def test_field_needs_no_gate(field):
+    """Personal data in plain words is found; the same cues in ordinary use are left alone."""
+    found = lambda text: [text[a:b] for a, b, _ in pii.all_spans([text], field)[0][1]]
+    assert found("my name is John Smith") == ["John Smith"] and found("Contact Maria Gonzalez for more") == ["Maria Gonzalez"]
+    assert found("please write to john at example dot com please") == ["john at example dot com"] and found("Mr John Smith went home") == ["John Smith"]
+    assert not any(map(found, ["He is at the station", "the name of the town is old", "contact us at once", "the dot is at the end", "this call is over"]))
+
+
+def test_viterbi_against_enumeration():
+    """The decoded chain is the best of all label sequences, and the likelihood's gradient that of its differences."""
+    import itertools
+
+    rng = np.random.default_rng(2)
+    texts = ["Dr. Ann Lee 12 (at) x", "call 555"]
+    w = pii.look(texts)
+    w.sentence = w.b.owner
+    shapes, k = np.unique(w.shape), len(pii.LABELS)
+    m = pii.Model(shapes, rng.normal(size=(pii._n_features(shapes), k)), rng.normal(size=(k, k)))
+    f = pii._features(w, shapes)
+    e = m.weights[f].sum(1)
+    score = lambda at, y: sum(e[i, a] for i, a in zip(at, y)) + sum(m.moves[a, b] for a, b in zip(y, y[1:]))
+    got = pii.decode(w, m)
+    for at in (range(4), range(6, 8)):  # four words are enough to enumerate
+        part = pii.Words(w.b, w.shape[list(at)], w.cue[list(at)], np.zeros(len(at), int))
+        ee = m.weights[pii._features(part, shapes)].sum(1)
+        best = max(itertools.product(range(k), repeat=len(at)), key=lambda y: sum(ee[i, a] for i, a in enumerate(y)) + sum(m.moves[a, b] for a, b in zip(y, y[1:])))
+        assert pii.decode(part, m).tolist() == list(best)
+    assert score(range(len(got)), got.tolist()) > -np.inf
+    goal = pii.Likelihood([(["Dr.", "Ann", "Ann", "x"], ["O", "B-crf_name", "I-crf_name", "O"]), (["x", "x"], ["O", "O"])])
+    weights, moves = rng.normal(size=goal.gold_w.shape), rng.normal(size=goal.gold_m.shape)
+    weights[0] = 0
+    value, grad_w, grad_m = goal(weights, moves)
+    for grad, x, i in ((grad_w, weights, (1, 0)), (grad_w, weights, (2, 7)), (grad_m, moves, (0, 7)), (grad_m, moves, (7, 8))):
+        x[i] += 1e-5
+        up = goal(weights, moves)[0]
+        x[i] -= 1e-5
+        assert abs((up - value) / 1e-5 - grad[i]) < 1e-3
+
+
+def test_long_sentences_are_decoded_in_chains(field):
+    text = " ".join(["word"] * 1000) + " my name is John Smith " + " ".join(["word"] * 999)
+    assert [text[a:b] for a, b, _ in pii.all_spans([text], field)[0][1]] == ["John Smith"]
+
+
 def test_pii_tables(spark, odd, field):
     df = docs(spark, [(1, "mail me@x.example.com or +1 (555) 555-1234"), (2, None), (3, "")])
     got = {r["doc_id"]: r for r in pii.find(df, field).collect()}
