@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,10 +23,12 @@ def strings(column: pd.Series) -> list[str]:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path below spark.checkpoint.dir, the folder every machine sees.
 
-    Where the setting is absent (local tests) a folder in the warehouse is used.
+    Where the setting is absent a local session (tests) uses a folder in the warehouse; a cluster is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     return f"{base.rstrip('/')}/recordloom-{uuid.uuid4().hex}"
 
@@ -57,8 +61,36 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Holds Arrow batches to so many rows: they carry whole texts, and a worker holds a batch or two."""
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 1_000):
+    """Holds Arrow batches to so many rows within a block: they carry whole texts, and a worker holds a batch or two.
+
+    The plans of the block must be run (written) within it.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > rows:
+    before = spark.conf.get(name, "10000")
+    if int(before) > rows:
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: A key is hot if it has more than 1 in HOT of all rows, so that there are fewer than HOT of them; it is dealt over SALTS tasks.
+HOT, SALTS = 1_000, 256
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row a key at most; the rows of hot keys of left are dealt over many tasks.
+
+    Fewer than HOT keys are broadcast, whatever the size of the tables.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = materialise(counts.where(F.col("__n") > total / HOT).where(F.col("__n") > HOT).select(key, F.lit(SALTS).alias("__salts")))
+    salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("__salts", F.lit(1))).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__salts")
+    copies = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    right = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(copies)).drop("__salts")
+    return dealt.join(right, [key, "__salt"], how).drop("__salt")

@@ -134,8 +134,8 @@ def blocks(docs: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens and log10_score (the sum over the document's words) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bounded_batches(docs.sparkSession, 1_200)
-    held = materialise(blocks(docs))
+    with bounded_batches(docs.sparkSession, 1_200):
+        held = materialise(blocks(docs))
     corpus = held.agg(F.sum("n")).first()[0] or 0
     bits = max(1, (order * corpus // BUCKET_ROWS).bit_length())
 

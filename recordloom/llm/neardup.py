@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
-from .common import bounded_batches, materialise, strings
+from .common import bounded_batches, join_dealt, materialise, strings
 from .components import components
 
 U = np.uint64
@@ -56,7 +56,7 @@ PIVOTS = 8
 
 def runs(texts: list[str]) -> Iterator[np.ndarray]:
     """Hashes of the runs of each text, with repeats; none for a text without words."""
-    for lo, hi in words.chunks(texts, 1_000_000):
+    for lo, hi in words.chunks(texts):
         b = words.batch([x.lower() for x in texts[lo:hi]])
         h, at = words.windows(b, WORDS)
         cuts = np.searchsorted(b.owner[at], np.arange(hi - lo + 1))
@@ -222,8 +222,12 @@ def _bounds(far: DataFrame, failed: DataFrame, held: DataFrame, shared, n_docs:
 
 def links(docs: DataFrame) -> DataFrame:
     """Verified links between different texts, as nodes (u, v): enough of them to connect every class."""
+    with bounded_batches(docs.sparkSession):
+        return _links(docs)
+
+
+def _links(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    bounded_batches(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     table, n_docs = sketch(texts)
     shared = spark.sparkContext.broadcast(table)
@@ -287,18 +291,24 @@ def _also_linked(pairs: DataFrame, edges: DataFrame, held: DataFrame, shared, n_
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node (digest of the text) and class_id, the smallest doc_id of the class, for every row."""
-    roots = components(links(docs))
-    rows = docs.select("doc_id", _node(F.col("text")).alias("node"))
-    rooted = rows.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "node", "class_id")
+    rows = materialise(docs.select("doc_id", _node(F.col("text")).alias("node")))
+    linked = components(links(docs))
+    own = rows.groupBy("node").agg(F.min("doc_id").alias("own"))
+    rooted = materialise(linked.join(own, "node"))
+    least = rooted.join(own.withColumnsRenamed({"node": "root", "own": "root_own"}), "root").groupBy("root").agg(F.least(F.min("own"), F.first("root_own")).alias("class_id"))
+    least = materialise(least)
+    # the members of a class, then its root, and for all other texts their own smallest id
+    grouped = join_dealt(rooted.select("node", "root"), least, "root").select("node", "class_id").unionByName(least.withColumnRenamed("root", "node"))
+    of_node = own.join(materialise(grouped), "node", "left").select("node", F.coalesce("class_id", "own").alias("class_id"))
+    return join_dealt(rows, of_node, "node")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each class (of equal ids, that with the smallest digest), all columns."""
     found = materialise(classes(docs).withColumn("class", F.coalesce("class_id", F.xxhash64("node"))))
     chosen = found.groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "node")).alias("x")).select("x.id", "x.node")
-    marked = docs.withColumns({"__node": _node(F.col("text")), "__id": F.coalesce("doc_id", F.lit(-(1 << 63)))})
-    kept = marked.join(chosen.select(F.col("id").alias("__id"), F.col("node").alias("__node")), ["__id", "__node"], "left_semi").drop("__node", "__id")
+    id_of, node = F.coalesce("doc_id", F.lit(-(1 << 63))), _node(F.col("text"))
+    kept = docs.join(chosen.withColumnsRenamed({"id": "__chosen_id", "node": "__chosen_node"}), (id_of == F.col("__chosen_id")) & (node == F.col("__chosen_node")), "left_semi")
     repeats = found.groupBy("doc_id", "node").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
 

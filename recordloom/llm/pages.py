@@ -1,16 +1,20 @@
 """Main text of web pages, with template removal by host.
 
-A page is read into a tree of elements. The article element with the most text
-is the root, else the body. Parts that say by their tag, role, class or id that
-they are menus, headers, footers, sidebars, notices, adverts, forms or comments
-are left out. A class or id says so by a whole name or a fixed compound
-("comment-list", "site-header"), not by any name that has the word in it
-("has-sidebar", "comments-open"), and one that speaks of layout leaves out no
-article or main element and nothing that holds one. What else a site repeats is found by counting: subtrees are hashed
-and counted per host in Spark, once for each different main text (so that copies
-of one page don't make a template of it), and subtrees that recur in many of the
-host's pages are deleted. Inside an article only containers are candidates, not
-its paragraphs: a passage that many articles quote is part of them.
+A page is read into a tree of elements, and its block elements are hashed with
+all that lies below them. Spark counts the hashes per host, once for each
+different main text (so that copies of one page don't make a template of it).
+Subtrees that recur in many of the host's pages are deleted wherever they stand:
+menus, headers, footers, sidebars, notices. Inside a marked article only
+containers are candidates, not its paragraphs: a passage that many articles
+quote is part of them.
+
+In what is left, the article element with the most text is the root, else the
+body. Parts that recur too little to be counted out, but say by their tag, role,
+class or id that they are menus, headers, footers, sidebars, notices, adverts,
+forms or comments are left out too. A class or id says so by a whole name or a
+fixed compound ("comment-list", "site-header"), not by any name that has the
+word in it ("has-sidebar", "comments-open"), and one that speaks of layout
+leaves out no article or main element and nothing that holds one.
 
 A template occurs in MIN_PAGES pages of its host and in SHARE of them, which is
 small, so that rotating notices and those of a section count. The hosts' lists
@@ -19,8 +23,9 @@ else the pages' subtrees are joined to the templates by host and hash, and a pag
 gets those of its own.
 
 Defined cases: null html counts as empty; a page without tags is its text; a
-null url is a host of its own; equal pages get the same text; an empty table
-gives no rows; further columns are ignored.
+null url is a host of its own; equal pages get the same text; of articles of
+equal length the first in the page is taken; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -78,10 +84,12 @@ def _marked(value: str) -> set[str]:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "main", "layout")
+    """An element. size: characters of text below it, without what is left out; own: its hash, with all below it."""
+
+    __slots__ = ("tag", "parent", "items", "drop", "main", "layout", "size", "own")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False, main: bool = False, layout: bool = False):
-        self.tag, self.parent, self.items, self.drop, self.main, self.layout = tag, parent, [], drop, main, layout
+        self.tag, self.parent, self.items, self.drop, self.main, self.layout, self.size, self.own = tag, parent, [], drop, main, layout, 0, 0
 
 
 def _flags(tag: str, attributes: str) -> tuple[bool, bool, bool]:
@@ -108,25 +116,36 @@ def _flags(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     return drop, main and not drop, layout
 
 
+_AROUND_P = {"p", *CONTAINERS, "article", "main", "body", "td", "li", "blockquote"}
+_AROUND_ITEMS = set("ul ol table dl select article body".split())
+
+
 def parse(html: str) -> Node:
     """The tree of a page. Text is kept as strings among a node's items."""
-    root = here = Node("", None)
+    root = Node("", None)
+    stack, count = [root], Counter()  # the open elements, and how many there are of each tag
+
+    def close(i: int) -> None:
+        for node in stack[i:]:
+            count[node.tag] -= 1
+        del stack[i:]
+
     at = 0
     while m := _TOKEN.search(html, at):
         if m.start() > at:
-            here.items.append(html[at : m.start()])
+            stack[-1].items.append(html[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            if count[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
             elif tag == "p":
-                here.items.append(Node("p", here))
+                stack[-1].items.append(Node("p", stack[-1]))
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
@@ -134,82 +153,84 @@ def parse(html: str) -> Node:
             if not attributes.endswith("/"):
                 at = end.end() if end else len(html)
             continue
-        if tag in BLOCK and tag != "br":  # an open paragraph ends before a block
-            node = here
-            while node is not None and node.tag not in ("p", *CONTAINERS, "article", "main", "body", "td", "li", "blockquote"):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                here = node.parent
-        if tag in ENDS:
-            node = here
-            while node is not None and node.tag not in ENDS[tag] and node.tag not in ("ul", "ol", "table", "dl", "select", "article", "body"):
-                node = node.parent
-            while node is not None and node.tag in ENDS[tag]:
-                here = node.parent
-                node = node.parent
+        if tag in BLOCK and count["p"]:  # an open paragraph ends before a block
+            i = len(stack) - 1
+            while i and stack[i].tag not in _AROUND_P:
+                i -= 1
+            if stack[i].tag == "p":
+                close(i)
+        if tag in ENDS and any(count[x] for x in ENDS[tag]):
+            i = len(stack) - 1
+            while i and stack[i].tag not in ENDS[tag] and stack[i].tag not in _AROUND_ITEMS:
+                i -= 1
+            while i and stack[i].tag in ENDS[tag]:
+                close(i)
+                i -= 1
+        here = stack[-1]
         node = Node(tag, here, *_flags(tag, attributes))
         here.items.append(node)
         if node.main:  # what holds main text isn't left out for its name
             over = here
-            while over is not None and over.tag != "article":
+            while over is not None and over.tag != "article" and not over.main:
                 over.drop &= not over.layout
                 over = over.parent
         if tag not in VOID and not attributes.endswith("/"):
-            here = node
+            stack.append(node)
+            count[tag] += 1
     if at < len(html):
-        here.items.append(html[at:])
+        stack[-1].items.append(html[at:])
     return root
 
 
-def _size(node: Node) -> int:
-    """Characters of text below a node, without what is left out."""
-    total, todo = 0, [node]
+def _bottom_up(root: Node) -> list[Node]:
+    """All elements below a node, those further in first."""
+    order, todo = [], [root]
     while todo:
-        for x in todo.pop().items:
-            if isinstance(x, str):
-                total += len(x.strip())
-            elif not x.drop:
-                todo.append(x)
-    return total
+        node = todo.pop()
+        order.append(node)
+        todo += [x for x in node.items if not isinstance(x, str)]
+    return order[::-1]
 
 
 def main_node(root: Node) -> tuple[Node, bool]:
-    """The element that holds the main text, and whether it is marked as such."""
-    marked, todo = [], [root]
-    while todo:
-        for x in todo.pop().items:
-            if not isinstance(x, str) and not x.drop:
-                (marked if x.main else todo).append(x)
-    best, size = root, 0
-    for x in marked:
-        if (n := _size(x)) > size:
-            best, size = x, n
-    if size and best.tag != "article":  # a main element may hold the article
-        inner, _ = main_node(best)
-        if inner is not best and 2 * _size(inner) >= size:
-            best = inner
-    return best, size > 0
+    """The element that holds the main text, and whether it is marked as such. Sets the sizes of all elements."""
+    for node in _bottom_up(root):
+        node.size = sum(len(x.strip()) if isinstance(x, str) else 0 if x.drop else x.size for x in node.items)
+    best, found = root, False
+    while True:
+        marked, todo = [], [best]
+        while todo:
+            for x in todo.pop().items:
+                if not isinstance(x, str) and not x.drop:
+                    (marked if x.main else todo).append(x)
+        top = max(marked, key=lambda x: x.size, default=None)
+        # a main element may hold the article
+        if top is None or not top.size or found and 2 * top.size < best.size:
+            return best, found
+        best, found = top, True
+        if best.tag == "article":
+            return best, True
 
 
 def _digest(data: str) -> int:
     return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def walk(top: Node, marked: bool, templates: frozenset = frozenset(), hashes: set | None = None) -> list[str]:
-    """Blocks of text below a node. Fills `hashes` with its candidates for templates."""
+def candidates(root: Node, main: Node, marked: bool) -> list[Node]:
+    """Elements that may be templates, with their hashes set: containers, and on a page without a marked article any block."""
+    order = _bottom_up(root)
+    text = {}
+    for node in order:
+        parts = [_SPACE.sub(" ", x).strip() if isinstance(x, str) else str(x.own) for x in node.items]
+        node.own = _digest(f"{node.tag}\x01" + "\x00".join(parts))
+        text[id(node)] = any(x if isinstance(x, str) else text[id(y)] for x, y in zip(parts, node.items) if isinstance(y, str) and x or not isinstance(y, str))
+    tags = CONTAINERS if marked else BLOCK - {"html", "body", "main", "article", "br", "hr"}
+    return [x for x in order if x.tag in tags and text[id(x)] and x is not main]
+
+
+def walk(top: Node, marked: bool) -> list[str]:
+    """Blocks of text below a node."""
     blocks: list[list[str]] = [[]]
-    own: dict[int, int] = {}
-    if hashes is not None or templates:
-        order, todo = [], [top]
-        while todo:
-            node = todo.pop()
-            order.append(node)
-            todo += [x for x in node.items if not isinstance(x, str) and not x.drop]
-        for node in reversed(order):
-            inner = "\x00".join(_SPACE.sub(" ", x).strip() if isinstance(x, str) else str(own.get(id(x), 0)) for x in node.items)
-            own[id(node)] = _digest(f"{node.tag}\x01{inner}")
-        if hashes is not None:
-            hashes |= {own[id(x)] for x in order[1:] if (x.tag in CONTAINERS if marked else x.tag not in ("html", "body", "main", "article")) and _size(x)}
     todo: list = [top]
     while todo:
         x = todo.pop()
@@ -218,7 +239,7 @@ def walk(top: Node, marked: bool, templates: frozenset = frozenset(), hashes: se
         elif x is None:
             blocks.append([])
         else:
-            if x is not top and (x.drop or own.get(id(x)) in templates and (not marked or x.tag in CONTAINERS)):
+            if x is not top and x.drop:
                 blocks += [[]] if x.tag in BLOCK else []
                 continue
             if x.tag == "header":
@@ -233,6 +254,26 @@ def walk(top: Node, marked: bool, templates: frozenset = frozenset(), hashes: se
     return [t for t in texts if t]
 
 
+def page_hashes(html: str) -> tuple[str, list[int]]:
+    """The text of a page as it is without its host, and the hashes of its candidates for templates."""
+    root = parse(html)
+    node, marked = main_node(root)
+    return "\n".join(walk(node, marked)), sorted({x.own for x in candidates(root, node, marked)})
+
+
+def page_text(html: str, known: frozenset) -> str:
+    """The text of a page without the templates of its host."""
+    root = parse(html)
+    node, marked = main_node(root)
+    if known:
+        gone = [x for x in candidates(root, node, marked) if x.own in known]
+        for x in gone:
+            x.drop = True
+        if gone:
+            node, marked = main_node(root)
+    return "\n".join(walk(node, marked))
+
+
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("\x00"))
 
@@ -248,10 +289,8 @@ def subtrees(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for host, at, html in zip(pdf["host"], pdf["node"], strings(pdf["html"])):
-                found: set[int] = set()
-                node, marked = main_node(parse(html))
-                text = "\n".join(walk(node, marked, hashes=found))
-                out.append((host, at, _digest(text), sorted(found)))
+                text, found = page_hashes(html)
+                out.append((host, at, _digest(text), found))
             yield pd.DataFrame(out, columns=["host", "node", "sig", "hashes"])
 
     return pages.select(_host(F.col("url")).alias("host"), _node(F.col("html")).alias("node"), "html").mapInPandas(hash_page, "host string, node binary, sig long, hashes array<long>")
@@ -259,9 +298,10 @@ def subtrees(pages: DataFrame) -> DataFrame:
 
 def templates(seen: DataFrame) -> DataFrame:
     """host and hash of the template subtrees."""
-    totals = seen.select("host", "sig").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counted = seen.select("host", "sig", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(totals, "host").where((F.col("n") >= MIN_PAGES) & (F.col("n") >= SHARE * F.col("pages"))).select("host", "hash")
+    once = seen.select("host", "sig", "hashes").dropDuplicates(["host", "sig"])
+    totals = seen.groupBy("host", "sig").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counted = once.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
+    return counted.join(totals, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "hash")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -282,10 +322,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for html, known in zip(strings(pdf["html"]), pdf["templates"]):
-                node, marked = main_node(parse(html))
-                out.append("\n".join(walk(node, marked, frozenset(known.tolist()) if known is not None else frozenset())))
+            out = [page_text(html, frozenset(known.tolist()) if known is not None else frozenset()) for html, known in zip(strings(pdf["html"]), pdf["templates"])]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out, "n_chars": [len(x) for x in out]})
 
     return joined.select("page_id", "url", "html", "templates").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")

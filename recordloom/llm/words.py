@@ -18,7 +18,7 @@ import numpy as np
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _INV_BASE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 _ODD = np.array([(0xA24BAED4963EE407 * (2 * i + 1)) % (1 << 64) | 1 for i in range(64)], U)
 
 

@@ -5,6 +5,7 @@ import hashlib
 import html
 import math
 import random
+import time
 import re
 import zlib
 
@@ -308,12 +309,48 @@ def test_components(spark):
     assert all(root(x) == got.get(x, x) for x in group)
 
 
+def test_page_templates_against_counting(spark):
+    """Unmarked parts that recur on a host go, wherever they stand; the word lists have nothing to say about them."""
+    menu, foot = "<div><ul><li>Home<li>News</ul></div>", "<div><p>All rights kept by us</p></div>"
+    rows = []
+    for i in range(40):
+        host = "a.org" if i < 30 else "b.org"
+        rare = "<div><p>only three times</p></div>" if i < 3 else ""
+        rows.append((i, f"https://{host}/{i}", f"<body>{menu}{rare}<article><h1>T{i}</h1><p>{prose(i, 30)}</p>{foot}</article></body>" if i % 2 else f"<body>{menu}{rare}<div><p>{prose(i, 30)}</p></div>{foot}</body>"))
+    rows += [(100 + i, "https://a.org/copy", rows[1][2]) for i in range(20)]  # copies of a page are no template
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    seen: dict = {}
+    for _, url, html in rows:
+        text, found = pages.page_hashes(html)
+        seen.setdefault((url.split("/")[2], text), set(found))
+    for page, url, html in rows:
+        host = url.split("/")[2]
+        mine = [x for (h, _), x in seen.items() if h == host]
+        known = frozenset(x for x in set().union(*mine) if sum(x in y for y in mine) >= max(pages.MIN_PAGES, pages.SHARE * len(mine)))
+        assert got[page] == pages.page_text(html, known)
+    assert got[1] == got[100] == f"T1\n{prose(1, 30)}" and got[4] == prose(4, 30)
+    assert got[0] == f"only three times\n{prose(0, 30)}"
+
+
+def test_page_shapes_that_cost():
+    """Deep nesting and stray tags neither fail nor take long; of equal articles the first is taken."""
+    began = time.time()
+    assert pages.page_text("<main>" * 3000 + "deep", frozenset()) == "deep"
+    assert pages.page_text("<div>" * 20_000 + "</b>" * 20_000 + "x", frozenset({1})) == "x"
+    assert pages.page_text("<p>" + "<b>" * 20_000 + "x" + "<ul><li>y" * 50, frozenset()).startswith("x")
+    assert time.time() - began < 20
+    assert pages.page_text("<article>one</article><article>two</article>", frozenset()) == "one"
+
+
 def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(1, "Alice had 12 apples and gave Bob 5 apples so that Alice had only 7 apples left over today"), (2, "tiny item"), (3, None), (4, "a completely different question about the capital of a small island country")], "item_id bigint, text string")
     item = bench.first()["text"]
-    texts = [(1, f"{prose(1)}\n{item}\n{prose(2)}"), (2, f"{prose(3)} Carla had 30 apples and gave Dan 9 apples so that Carla had only 21 apples left over today {prose(4)}"), (3, prose(9)), (4, None), (5, "Alice had 12 apples. Nothing else here matches the benchmark at all really"), (6, "Well Alice had 12 apples and gave Bob 5 apples so that Carol had only 7 apples left over today")]
+    texts = [(7, item.replace("Bob", "Alice")), (1, f"{prose(1)}\n{item}\n{prose(2)}"), (2, f"{prose(3)} Carla had 30 apples and gave Dan 9 apples so that Carla had only 21 apples left over today {prose(4)}"), (3, prose(9)), (4, None), (5, "Alice had 12 apples. Nothing else here matches the benchmark at all really"), (6, "Well Alice had 12 apples and gave Bob 5 apples so that Carol had only 7 apples left over today")]
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(docs(spark, texts), bench).collect()}
-    assert got[1, 1] == "verbatim" and got[2, 1] == "rewritten" and {k[0] for k in got} <= {1, 2, 6}
+    assert got[1, 1] == "verbatim" and got[2, 1] == "rewritten" and {k[0] for k in got} <= {1, 2, 6, 7}
+    # two names that become one cost the four of ten windows that hold both
+    assert {r["doc_id"]: round(r["coverage"], 2) for r in decontam.contaminated(docs(spark, texts), bench).collect()}[7] == 0.6
     clean = decontam.clean(docs(spark, texts), bench)
     assert clean.columns == docs(spark, texts).columns and {3, 4, 5} <= {r["doc_id"] for r in clean.collect()}
     assert decontam.contaminated(odd, bench.limit(0)).count() == 0 and decontam.clean(odd, bench).count() == odd.count()
