@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 #: Protocol tags (fixed values: stored identities depend on them).
-DERIVED_TAG = "agent-memory-derived-v1"
-INGEST_TAG = "agent-memory-ingest-v1"
+DERIVED_TAG = "recordloom-derived-v1"
+INGEST_TAG = "recordloom-ingest-v1"
 
 _UPPER_ESCAPES = ["0B", "0E", "0F", *(f"1{c}" for c in "ABCDEF")]
 

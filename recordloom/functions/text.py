@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 #: Words that carry no content (fixed values).
 STOP_WORDS = frozenset("""
@@ -83,6 +84,24 @@ def overlap(text: Column, query: str) -> Column:
     return out
 
 
+def match_score(text: Column, stems: list[str]) -> Column:
+    """How many of the stems a text has as whole terms."""
+    out = F.lit(0)
+    for x in stems:
+        out = out + text.rlike("(?iu)" + pattern(x)).cast("int")
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def _casefold(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: None if x is None else x.casefold())
+
+
+def casefold(text: Column) -> Column:
+    """Caseless form of a text; Python is asked only where there is more than ASCII."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _casefold(text)).otherwise(F.lower(text))
+
+
 #: Days after which confidence falls to 1/e, by kind (fixed values).
 PERIODS = {"event": 7, "decision": 90, "preference": 90, "belief": 365, "fact": 365}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from recordloom.functions import text as tx
 from recordloom.session import cut_lineage
 
 DECAY = 0.6
@@ -15,9 +16,9 @@ def usable(edges: DataFrame, eligible: DataFrame) -> DataFrame:
 
 
 def last_written(edges: DataFrame, order: str) -> DataFrame:
-    """The last write of each edge. Endpoints are lower-cased; relations keep their case."""
+    """The last write of each edge. Endpoints are folded to one case; relations keep theirs."""
     key = ["namespace", "source", "relation", "target", "record_id"]
-    folded = edges.withColumns({"source": F.lower("source"), "target": F.lower("target")})
+    folded = edges.withColumns({"source": tx.casefold(F.col("source")), "target": tx.casefold(F.col("target"))})
     return folded.groupBy(*key).agg(F.max_by(F.struct("revision", "weight"), F.col(order)).alias("x")).select(*key, "x.revision", "x.weight")
 
 
@@ -52,7 +53,8 @@ def expand(edges: DataFrame, scored: DataFrame, depth: int = 2, fanout: int = 25
         left = max_nodes - visited.count()
         new = step.join(visited.select(F.col("node").alias("other")), "other", "left_anti").groupBy("other").agg(F.min(F.struct("place", "edge_rank", (F.col("path") * F.col("weight")).alias("path"))).alias("x"))
         order = Window.orderBy("x.place", "x.edge_rank")
-        front = new.select(F.col("other").alias("node"), F.row_number().over(order).alias("place"), F.col("x.path").alias("path")).where(F.col("place") <= max(0, left))
+        new = new.orderBy("x.place", "x.edge_rank").limit(max(0, left))  # a top-k before the one window
+        front = new.select(F.col("other").alias("node"), F.row_number().over(order).alias("place"), F.col("x.path").alias("path"))
         front = cut_lineage(front)
         visited = cut_lineage(visited.unionByName(front.select("node")))
     return found.groupBy("id").agg(F.max("graph").alias("graph"))

@@ -79,52 +79,76 @@ def replay(items: DataFrame, outcomes: DataFrame, ledger: DataFrame | None = Non
     )
 
 
-def receipts(operations: DataFrame) -> DataFrame:
-    """One row per namespace: inserted, duplicates and conflicts in source order, and the cursor's advance."""
+def receipt_lines(operations: DataFrame) -> DataFrame:
+    """namespace, pos, operation_id and what became of each item: inserted, duplicates or conflicts; order by pos."""
     kind = F.when(F.col("outcome") == "conflict", "conflicts").when(F.col("replayed") | (F.col("outcome") == "duplicate"), "duplicates").otherwise("inserted")
-    return operations.groupBy("namespace").agg(*(F.count_if(kind == k).alias(k) for k in ("inserted", "duplicates", "conflicts")), F.count(F.lit(1)).alias("cursor"))
+    return operations.select("namespace", "pos", "operation_id", kind.alias("kind"))
+
+
+def receipts(operations: DataFrame) -> DataFrame:
+    """One row per namespace: how many were inserted, duplicates and conflicts, and the cursor's advance."""
+    lines = receipt_lines(operations)
+    return lines.groupBy("namespace").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("inserted", "duplicates", "conflicts")), F.count(F.lit(1)).alias("cursor"))
 
 
+OUTCOMES = ["helpful", "irrelevant", "incorrect", "retract"]
 _RECEIPT = "namespace string, record_id string, pos long, operation_id string, outcome string, result string, revision long, duplicate boolean"
 
 
-def feedback(commands: DataFrame, records: DataFrame) -> DataFrame:
+def feedback(commands: DataFrame, records: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """Result of feedback commands in order of pos.
 
-    A record's commands are folded together, in order: replay, conflict (id bound to another command, or another
-    revision), retired, full, applied. Failed commands bind nothing. Operation ids must not be shared by records
-    of different ids (`spread_operations` finds those that are).
+    Commands are folded in order: replay, conflict (id bound to another command or record, or another revision),
+    inactive, full, applied. Failed commands bind nothing. A record's commands are folded together; in namespaces
+    that use one operation id for several records, all commands of the namespace are. An unknown outcome or a bad
+    operation id fails the whole call. log: commands applied before (namespace, record_id, operation_id,
+    expected_revision, outcome, revision), which bind first and count towards the capacity.
     """
+    name = F.when(F.col("operation_id").rlike(r"\A[A-Za-z0-9_.:-]{1,100}\z"), F.col("operation_id")).otherwise(F.raise_error(F.lit("operation_id: not an identifier")).cast("string"))
+    known = F.when(F.col("outcome").isin(OUTCOMES), F.col("outcome")).otherwise(F.raise_error(F.lit("outcome: unknown")).cast("string"))
+    key = ["namespace", "record_id", "operation_id", "expected_revision", "outcome"]
+    rows = commands.select(*key, "pos", F.lit(None).cast("bigint").alias("bound")).withColumns({"operation_id": name, "outcome": known})
+    if log is not None:
+        rows = rows.unionByName(log.select(*key, F.lit(-1).cast("bigint").alias("pos"), F.col("revision").alias("bound")))
     state = records.select("namespace", F.col("id").alias("record_id"), "revision", "status")
-    rows = commands.join(state, ["namespace", "record_id"], "left")
+    shared = spread_operations(rows).select("namespace").distinct().withColumn("wide", F.lit(True))
+    rows = rows.join(state, ["namespace", "record_id"], "left").join(shared, "namespace", "left")
+    rows = rows.withColumn("fold", F.when(F.col("wide"), "").otherwise(F.col("record_id")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        revision = None if pd.isna(first["revision"]) else int(first["revision"])
-        active, seen, bound, out = first["status"] == "active", 0, {}, []
-        for r in pdf.sort_values("pos").itertuples():
-            command, result, at, again = (r.expected_revision, r.outcome), "applied", revision, False
+        now: dict = {}
+        bound: dict = {}
+        out = []
+        for r in pdf.sort_values("pos", kind="stable").itertuples():
+            if r.record_id not in now:
+                now[r.record_id] = [None if pd.isna(r.revision) else int(r.revision), r.status == "active", 0]
+            own, command = now[r.record_id], (r.record_id, r.expected_revision, r.outcome)
+            if not pd.isna(r.bound):  # applied in an earlier call
+                bound[r.operation_id] = (command, int(r.bound))
+                own[2] += r.outcome in ("helpful", "irrelevant")
+                continue
+            result, at, again = "applied", None, False
             if r.operation_id in bound:
-                same = bound[r.operation_id][0] == command
-                result, at, again = ("applied", bound[r.operation_id][1], True) if same else ("conflict", None, False)
-            elif revision is None or r.expected_revision != revision:
-                result, at = "conflict", None
-            elif not active:
-                result, at = "inactive", None
-            elif r.outcome in ("helpful", "irrelevant") and seen >= CAPACITY:
-                result, at = "full", None
+                held, first = bound[r.operation_id]
+                result, at, again = ("applied", first, True) if held == command else ("conflict", None, False)
+            elif own[0] is None or r.expected_revision != own[0]:
+                result = "conflict"
+            elif not own[1]:
+                result = "inactive"
+            elif r.outcome in ("helpful", "irrelevant") and own[2] >= CAPACITY:
+                result = "full"
             else:
                 if r.outcome in ("incorrect", "retract"):
-                    revision, active = revision + 1, False
+                    own[0], own[1] = own[0] + 1, False
                 else:
-                    seen += 1
-                at = revision
+                    own[2] += 1
+                at = own[0]
                 bound[r.operation_id] = (command, at)
             out.append((r.namespace, r.record_id, r.pos, r.operation_id, r.outcome, result, at, again))
         found = pd.DataFrame(out, columns=[x.split()[0] for x in _RECEIPT.split(", ")])
         return found.astype({"revision": "Int64"})
 
-    return rows.groupBy("namespace", "record_id").applyInPandas(fold, _RECEIPT)
+    return rows.groupBy("namespace", "fold").applyInPandas(fold, _RECEIPT)
 
 
 def simple_feedback(commands: DataFrame, records: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ of nodes come along; only roots above the budget are counted exactly.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from recordloom.errors import whole
@@ -59,8 +61,10 @@ def propagate(nodes: DataFrame, refs: DataFrame, max_nodes: int = MAX_NODES, max
     )
     start = start.join(follow.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("parents")), "id", "left").withColumn("parents", F.coalesce("parents", F.lit(0)))
     done = start.where("parents = 0").withColumns({"height": F.lit(0), "bound": F.lit(1).cast("bigint")}).drop("parents")
-    done, todo = cut_lineage(done), cut_lineage(start.where("parents > 0"))
+    levels, todo = [cut_lineage(done)], cut_lineage(start.where("parents > 0"))
+    follow = cut_lineage(follow)
     while not todo.isEmpty():
+        done = reduce(DataFrame.unionByName, levels)  # each level is written once
         up = follow.join(todo.select(F.col("id").alias("child"), "parents"), "child").join(done.select(F.col("id").alias("parent"), F.col("trust").alias("p_trust"), F.col("audience").alias("p_audience"), F.col("issues").alias("p_issues"), F.col("witnesses").alias("p_witnesses"), "height", "bound"), "parent")
         level = up.groupBy("child").agg(
             F.max("parents").alias("n"), F.count(F.lit(1)).alias("found"), F.min("p_trust").alias("p_trust"), F.collect_set("p_audience").alias("p_audiences"),
@@ -69,17 +73,18 @@ def propagate(nodes: DataFrame, refs: DataFrame, max_nodes: int = MAX_NODES, max
         ).where("n = found")
         new = todo.join(level.withColumnRenamed("child", "id"), "id").select(
             "id", F.least("trust", "p_trust").alias("trust"), meet(F.concat(F.array("audience"), F.col("p_audiences"))).alias("audience"),
-            F.array_union("issues", "p_issues").alias("issues"), F.array_union("witnesses", "p_witnesses").alias("witnesses"), "height", "bound",
+            F.array_union("issues", "p_issues").alias("issues"), F.slice(F.array_union("witnesses", "p_witnesses"), 1, max_nodes + 1).alias("witnesses"), "height", "bound",
         )
         new = cut_lineage(new)
         if new.isEmpty():
             break
-        done, todo = cut_lineage(done.unionByName(new)), cut_lineage(todo.join(new.select("id"), "id", "left_anti"))
+        levels.append(new)
+        todo = cut_lineage(todo.join(new.select("id"), "id", "left_anti"))
     stuck = todo.select("id", "trust", "audience", F.array_union("issues", F.array(F.lit("cycle"))).alias("issues"), "witnesses", F.lit(None).cast("int").alias("height"), F.lit(None).cast("bigint").alias("bound"))
-    every = done.unionByName(stuck)
+    every = reduce(DataFrame.unionByName, levels).unionByName(stuck)
     over = every.where(F.col("bound") > max_nodes)
     if not over.isEmpty():
-        sizes = closure(over.select(F.col("id").alias("root")), follow, max_depth).groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        sizes = closure(over.select(F.col("id").alias("root")), follow, max_depth, max_nodes).groupBy("root").agg(F.count(F.lit(1)).alias("size"))
         every = every.join(sizes.withColumnRenamed("root", "id"), "id", "left")
     else:
         every = every.withColumn("size", F.col("bound"))
@@ -92,20 +97,31 @@ def propagate(nodes: DataFrame, refs: DataFrame, max_nodes: int = MAX_NODES, max
     )
 
 
-def closure(roots: DataFrame, follow: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Distinct (root, node) pairs reachable from the roots, themselves included."""
-    seen = front = cut_lineage(roots.select("root", F.col("root").alias("node")).distinct())
+def closure(roots: DataFrame, follow: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int | None = None) -> DataFrame:
+    """Distinct (root, node) pairs reachable from the roots, themselves included.
+
+    With max_nodes a root with more nodes than that isn't followed on: its pairs are enough to show it. Each
+    step's pairs are written once.
+    """
+    front = cut_lineage(roots.select("root", F.col("root").alias("node")).distinct())
+    steps = [front]
     for _ in range(max_depth):
+        seen = reduce(DataFrame.unionByName, steps)
+        if max_nodes is not None:
+            front = front.join(seen.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_nodes).select("root"), "root", "left_semi")
         step = front.join(follow.select(F.col("child").alias("node"), "parent"), "node").select("root", F.col("parent").alias("node")).distinct()
         front = cut_lineage(step.join(seen, ["root", "node"], "left_anti"))
         if front.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(front))
-    return seen
+        steps.append(front)
+    return reduce(DataFrame.unionByName, steps)
 
 
 def resolve(records: DataFrame, now: float, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Evidence of every record of one namespace's snapshot."""
+    """Evidence of every record of one namespace's snapshot; rows of several namespaces are refused."""
+    names = records.agg(F.min("namespace").alias("first"), F.max("namespace").alias("last")).first()
+    if names["first"] != names["last"]:
+        raise ValueError("evidence is resolved for one namespace at a time")
     nodes, refs = nodes_and_refs(records, now)
     names = F.array(F.lit("untrusted"), F.lit("unknown"), F.lit("trusted"))
     return propagate(nodes, refs, max_nodes, max_depth).withColumn("trust", F.element_at(names, F.col("trust") + 1))
@@ -125,9 +141,11 @@ def derive(parents: DataFrame, children: DataFrame) -> DataFrame:
 
     named = children.select("child", F.posexplode("sources").alias("pos", "s")).select("child", F.col("s.id").alias("id"), F.col("s.revision").alias("revision"))
     trust = F.when(F.col("trust") == "untrusted", 0).when(F.col("trust") == "unknown", 1).otherwise(2)
-    joined = named.join(parents.select("namespace", "id", "revision", trust.alias("trust"), "audience", "confidence"), ["id", "revision"])
-    folded = joined.groupBy("child").agg(F.min("namespace").alias("namespace"), F.max("namespace").alias("other"), F.min("trust").alias("trust"), meet(F.collect_set("audience")).alias("audience"), F.min("confidence").alias("confidence"))
+    joined = named.join(parents.select("namespace", "id", "revision", trust.alias("trust"), "audience", "confidence"), ["id", "revision"], "left")
+    folded = joined.groupBy("child").agg(F.count_if(F.col("namespace").isNull()).alias("lost"), F.min("namespace").alias("namespace"), F.max("namespace").alias("other"), F.min("trust").alias("trust"), meet(F.collect_set("audience")).alias("audience"), F.min("confidence").alias("confidence"))
     folded = folded.withColumn("namespace", F.when(F.col("namespace") != F.col("other"), F.raise_error(F.lit("sources must share a namespace")).cast("string")).otherwise(F.col("namespace"))).drop("other")
-    out = children.join(folded, "child")
+    out = children.join(folded, "child", "left")
+    absent = F.col("lost").isNull() | (F.col("lost") > 0)
+    out = out.withColumn("namespace", F.when(absent, F.raise_error(F.lit("a parent isn't stored at that revision")).cast("string")).otherwise(F.col("namespace"))).drop("lost")
     names = F.array(F.lit("untrusted"), F.lit("unknown"), F.lit("trusted"))
     return out.withColumns({"trust": F.element_at(names, F.col("trust") + 1), "derived": F.lit(True), "id": identity.derived_id(F.col("namespace"), F.col("source"), F.col("anchor"), F.col("text"), F.col("sources"))})

@@ -47,18 +47,26 @@ def lexical(judged: DataFrame, query: str, now: float) -> DataFrame:
     return met.withColumn("score", tx.rank(F.col("overlap"), F.col("confidence"), F.col("created_at"), F.col("kind"), now))
 
 
-def recall(records: DataFrame, query: str, principal: str, now: float, edges: DataFrame | None = None, index: DataFrame | None = None, limit: int = 10, depth: int = 2, fanout: int = 25, max_nodes: int = 256, excerpt_chars: int = 1200, evidence: DataFrame | None = None) -> DataFrame:
-    """The best `limit` records with score, routes, resolved trust, witnesses and excerpt."""
+def recall(records: DataFrame, query: str, principal: str, now: float, edges: DataFrame | None = None, index: DataFrame | None = None, limit: int = 10, depth: int = 2, fanout: int = 25, max_nodes: int = 256, excerpt_chars: int = 1200, evidence: DataFrame | None = None, namespace: str | None = None) -> DataFrame:
+    """The best `limit` records of one namespace with score, routes, resolved trust, witnesses and excerpt.
+
+    Without `namespace` the records must be of one; index and edges may hold others.
+    """
     whole(limit, "limit")
     whole(depth, "graph_depth", 0, 8)
     whole(fanout, "graph_fanout", 1)
     whole(max_nodes, "graph_max_nodes", 1)
     whole(excerpt_chars, "excerpt_chars", 1)
+    if namespace is None and (index is not None or edges is not None):
+        namespace = records.agg(F.max("namespace")).first()[0]
+    if namespace is not None:
+        records = records.where(F.col("namespace") == namespace)
+        edges = edges.where(F.col("namespace") == namespace) if edges is not None and "namespace" in edges.columns else edges
     judged = eligible(records, principal, now, evidence)
     fit = judged.where(F.col("reason").isNull())
     scores = lexical(judged, query, now).select("id", "score", F.lit("lexical").alias("route"))
     if index is not None:
-        best = search.candidates(index, query).join(fit.select("id", "revision"), ["id", "revision"], "left_semi")
+        best = search.candidates(index, query, namespace=namespace).join(fit.select("id", "revision"), ["id", "revision"], "left_semi")
         scores = scores.unionByName(best.select("id", (1 / (60 + F.col("position"))).alias("score"), F.lit("fts5").alias("route")))
     scores = scores.groupBy("id").agg(F.sum("score").alias("score"), F.collect_set("route").alias("routes"))
     if edges is not None and depth:

@@ -1,14 +1,15 @@
-"""A rebuildable inverted index with BM25, as postings and document lengths."""
+"""A rebuildable text index with BM25: one row of tokens a record, and a stored form by namespace."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from recordloom.errors import whole
 from recordloom.functions import text as tx
+from recordloom.session import cut_lineage
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -25,40 +26,59 @@ def _fold_here(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(c))
 
 
-def postings(records: DataFrame) -> DataFrame:
-    """namespace, id, revision, length, token and the token's places, for active records with text."""
+def index(records: DataFrame) -> DataFrame:
+    """namespace, id, revision, length and body (tokens between spaces) of active records with text."""
     kept = records.where((F.col("status") == "active") & (F.trim("text") != ""))
     tokens = F.regexp_extract_all(fold(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = kept.select("namespace", "id", "revision", tokens.alias("tokens"))
-    return rows.select("namespace", "id", "revision", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "token"))
+    # two spaces between tokens, so that neighbours don't share one when phrases are counted
+    return rows.select("namespace", "id", "revision", F.size("tokens").alias("length"), F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" ")).alias("body")).where("length > 0")
 
 
-def candidates(index: DataFrame, query: str, limit: int = 100, namespace: str | None = None) -> DataFrame:
+class StoredIndex:
+    """An index kept as a table by namespace; a rebuild replaces its namespace and leaves the others."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rebuild(self, records: DataFrame, namespace: str) -> dict:
+        """Indexes the namespace's records. Returns a receipt: namespace and how many records it has now."""
+        rows = cut_lineage(index(records.where(F.col("namespace") == namespace)))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(self.path)
+        return {"namespace": namespace, "indexed": rows.count()}
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema("id string, revision bigint, length int, body string, namespace string").parquet(self.path)
+
+
+def _count(phrase: list[str]) -> Column:
+    """How often the body has the tokens one after another, overlaps included."""
+    wanted = " " + "  ".join(phrase) + " "
+    if len(phrase) == 1 or len(set(phrase)) == len(phrase):  # can't overlap itself
+        return ((F.length("body") - F.length(F.replace("body", F.lit(wanted), F.lit("")))) / len(wanted)).cast("int")
+    return F.size(F.regexp_extract_all("body", F.lit(f"{re.escape(wanted[: len(phrase[0]) + 2])}(?={re.escape(wanted[len(phrase[0]) + 2 :])})"), F.lit(0)))
+
+
+def candidates(indexed: DataFrame, query: str, limit: int = 100, namespace: str | None = None) -> DataFrame:
     """id, revision, bm25 (the better, the lower) and position of the best matches of any term.
 
-    Scores are rounded to 12 places, so that equal ones tie. Statistics cover all indexed namespaces. A term of several tokens matches as a phrase.
+    Scores are rounded to 12 places, so that equal ones tie. Statistics cover all indexed namespaces. A term of
+    several tokens matches as a phrase. The index is read once: lengths and counts are written as a narrow table.
     """
     whole(limit, "limit", 0, 10_000)
     wanted = [re.findall(r"[^\W_]+", _fold_here(t)) for t in tx.terms(query[: tx.MAX_QUERY_CHARS])[: tx.MAX_TERMS]]
     wanted = [w for w in wanted if w]
-    docs = index.select("namespace", "id", "revision", "length").distinct()
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    hits = None
-    for number, phrase in enumerate(wanted):
-        rows = index.where(F.col("token").isin(phrase)) if len(phrase) > 1 else index.where(F.col("token") == phrase[0])
-        if len(phrase) > 1:
-            at = F.array_distinct(F.array(*(F.when(F.col("token") == t, F.col("pos") - i) for i, t in enumerate(phrase))))
-            starts = rows.select("namespace", "id", "revision", "length", F.explode(at).alias("begin"), "pos").where("begin is not null")
-            rows = starts.groupBy("namespace", "id", "revision", "length", "begin").agg(F.countDistinct("pos").alias("n")).where(F.col("n") == len(phrase))
-        one = rows.groupBy("namespace", "id", "revision", "length").agg(F.count(F.lit(1)).alias("tf")).withColumn("term", F.lit(number))
-        hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
-        return docs.where("false").select("id", "revision", F.lit(0.0).alias("bm25"), F.lit(1).alias("position"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each of the query's terms
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("namespace", "id", "revision").agg(F.round(-F.sum(part), 12).alias("bm25"))
+    if not wanted:
+        return indexed.where("false").select("id", "revision", F.lit(0.0).alias("bm25"), F.lit(1).alias("position"))
+    counted = cut_lineage(indexed.select("namespace", "id", "revision", "length", *(_count(w).alias(f"tf{i}") for i, w in enumerate(wanted))))
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        tf = F.col(f"tf{i}")
+        score = score + F.when(idf <= 0, LEAST_IDF).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    hit = F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(wanted)))) > 0
+    scored = counted.where(hit).crossJoin(F.broadcast(stats)).select("namespace", "id", "revision", F.round(-score, 12).alias("bm25"))  # stats is one row
     if namespace is not None:
         scored = scored.where(F.col("namespace") == namespace)
     best = scored.orderBy("bm25", "id").limit(limit)

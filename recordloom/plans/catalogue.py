@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window, functions as F
 
 from recordloom.functions import identity, text as tx
 from recordloom.operators import canonical, consolidation, graph, ledger, packing, provenance, recall as rc, search
 from recordloom.plans.oracles import ORACLES, QUERY
 from recordloom.schema import first_bad_field
-from recordloom.session import cut_lineage
+from recordloom.session import cut_lineage, shared_path
 from recordloom.sources import corpus
 from recordloom.sources.corpus import NOW, PRINCIPAL, table
 from recordloom.streaming import ingest
@@ -122,7 +120,7 @@ def provenance_closure(spark, d):
 
 
 def bm25_topk(spark, d):
-    index = search.postings(corpus.documents(spark, d))
+    index = search.index(corpus.documents(spark, d))
     best = search.candidates(index, QUERY, 50).join(record_ids(spark, d), "id")
     return best.select("doc_id", F.round("bm25", 9).alias("bm25"), "position")
 
@@ -131,7 +129,7 @@ def hybrid_fusion(spark, d):
     records = corpus.documents(spark, d)
     judged = _judged(spark, d)
     fit = judged.where("reason is null")
-    best = search.candidates(search.postings(records), QUERY, 100).join(fit.select("id", "revision"), ["id", "revision"], "left_semi")
+    best = search.candidates(search.index(records), QUERY, 100).join(fit.select("id", "revision"), ["id", "revision"], "left_semi")
     both = rc.lexical(judged, QUERY, NOW).select("id", "score").unionByName(best.select("id", (1 / (60 + F.col("position"))).alias("score"))).groupBy("id").agg(F.round(F.sum("score"), 9).alias("score"))
     return both.join(records.select("id", "doc_id"), "id").select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
 
@@ -144,7 +142,7 @@ def _edges(spark, d):
 
 
 def _scored(spark, d):
-    return table(spark, d, "supplier").where(F.col("s_suppkey") % 10 == 0).select(F.concat(F.lit("supp:"), F.col("s_suppkey").cast("string")).alias("id"))
+    return table(spark, d, "supplier").select(F.concat(F.lit("supp:"), F.col("s_suppkey").cast("string")).alias("id"))
 
 
 def edge_eligibility(spark, d):
@@ -166,7 +164,7 @@ def graph_expand(spark, d):
 
 def recall_full(spark, d):
     records = corpus.documents(spark, d)
-    hits = rc.recall(records, QUERY, PRINCIPAL, NOW, index=search.postings(records), evidence=rc.own_evidence(records, NOW), limit=20, excerpt_chars=400)
+    hits = rc.recall(records, QUERY, PRINCIPAL, NOW, index=search.index(records), evidence=rc.own_evidence(records, NOW), limit=20, excerpt_chars=400)
     return hits.select("doc_id", F.round("score", 9).alias("score"), F.array_join("routes", ",").alias("routes"), F.col("resolved_trust").alias("trust"))
 
 
@@ -178,7 +176,7 @@ def excerpt_hits(spark, d):
 
 
 def context_pack(spark, d):
-    hits = rc.lexical(_judged(spark, d), QUERY, NOW).withColumn("excerpt", F.substring("text", 1, F.when(F.col("doc_id") % 3 == 0, 900).otherwise(300)))
+    hits = rc.lexical(_judged(spark, d), QUERY, NOW).withColumn("excerpt", F.col("text"))
     top = hits.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(20)
     placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     return packing.pack(placed, 6000).select(F.md5("text").alias("text_md5"), F.size("included").alias("n_included"), F.size("omitted").alias("n_omitted"), "used")
@@ -278,8 +276,7 @@ def canonical_select(spark, d):
 
 def stream_feedback(spark, d):
     """Events as a file stream, repeats of an operation dropped, counted by outcome; written and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     table(spark, d, "events").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
     rows = stream.select(F.col("ts").cast("timestamp").alias("at"), F.lit("events").alias("namespace"), F.concat_ws(".", "user_id", "event_type", "props").alias("operation_id"), F.col("event_type").alias("outcome"))

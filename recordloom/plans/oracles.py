@@ -68,7 +68,7 @@ _EDGE = """edge AS (SELECT e.* FROM (
  UNION ALL SELECT lower(s_name), 'ships_from', lower(n_name), 'supp:' || s_suppkey, (s_suppkey % 7 + 3) / 10.0::DOUBLE FROM supplier JOIN nation ON s_nationkey = n_nationkey
  UNION ALL SELECT lower(n_name), 'part_of', lower(r_name), 'nation:' || n_nationkey, 1.0::DOUBLE FROM nation JOIN region ON n_regionkey = r_regionkey) e
  JOIN ev ON ev.id = e.record_id AND ev.complete AND (ev.audience = '*' OR list_contains(string_split(ev.audience, ','), 'worker'))),
-scored AS (SELECT 'supp:' || s_suppkey AS id FROM supplier WHERE s_suppkey % 10 = 0),
+scored AS (SELECT 'supp:' || s_suppkey AS id FROM supplier),
 adj AS (SELECT source AS node, target AS other, record_id, weight FROM edge UNION ALL SELECT target, source, record_id, weight FROM edge),
 rk AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other, record_id) AS edge_rank FROM adj)"""
 
@@ -99,8 +99,8 @@ _SECRET_SQL = _SECRET_SQL.replace("regexp_replace(text, 'sk-", "regexp_replace(r
 ORACLES = {
     "record_ids": _with(_REC) + "SELECT doc_id, id FROM rec",
     "ingest_fingerprint": """SELECT c_custkey, sha256('{"record":{"audience":[],"author":null,"complete":true,"confidence":[1,1],"derived":false,"expires_at":null,"id":"cust:' || c_custkey ||
- '","kind":"fact","namespace":"default","occurred_at":null,"source":"manual","sources":[],"status":"active","text":' || CAST(to_json(c_name || ' ' || c_mktsegment) AS VARCHAR) || ',"trust":"unknown"},"schema":"agent-memory-ingest-v1"}') AS fingerprint FROM customer""",
-    "derive_records": """SELECT o_orderkey, sha256('{"anchor":"' || o_orderkey || '","namespace":"tpch","parents":[["cust:' || o_custkey || '",1],["nation:' || c_nationkey || '",1]],"schema":"agent-memory-derived-v1","source":"derived","text":' || CAST(to_json(o_orderpriority) AS VARCHAR) || '}') AS id,
+ '","kind":"fact","namespace":"default","occurred_at":null,"source":"manual","sources":[],"status":"active","text":' || CAST(to_json(c_name || ' ' || c_mktsegment) AS VARCHAR) || ',"trust":"unknown"},"schema":"recordloom-ingest-v1"}') AS fingerprint FROM customer""",
+    "derive_records": """SELECT o_orderkey, sha256('{"anchor":"' || o_orderkey || '","namespace":"tpch","parents":[["cust:' || o_custkey || '",1],["nation:' || c_nationkey || '",1]],"schema":"recordloom-derived-v1","source":"derived","text":' || CAST(to_json(o_orderpriority) AS VARCHAR) || '}') AS id,
  CASE c_custkey % 3 WHEN 0 THEN 'untrusted' WHEN 1 THEN 'unknown' ELSE 'trusted' END AS trust,
  CASE WHEN c_nationkey % 2 = 0 THEN 'worker' WHEN c_custkey % 4 = 0 THEN 'boss,worker' ELSE '*' END AS audience,
  least((c_custkey % 10) / 10.0::DOUBLE, 0.5::DOUBLE) AS confidence FROM orders JOIN customer ON o_custkey = c_custkey""",
@@ -136,7 +136,7 @@ ORACLES = {
  tot AS (SELECT doc_id, sum(score) AS score, string_agg(DISTINCT route, ',' ORDER BY route) AS routes FROM part GROUP BY doc_id)
  SELECT doc_id, round(score, 9) AS score, routes, trust FROM tot JOIN rec USING (doc_id) ORDER BY score DESC, id LIMIT 20""",
     "context_pack": _with(_REC.replace("lex AS", "lex AS"), """hit AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, id) AS place, '{"id":"' || id || '","revision":1,"source":' || CAST(to_json(source) AS VARCHAR) || ',"author":null,"trust":"' || trust || '","witnesses":["' || id || '"],"text":' ||
- CAST(to_json(substring(text, 1, CASE WHEN doc_id % 3 = 0 THEN 900 ELSE 300 END)) AS VARCHAR) || '}' AS block FROM lex ORDER BY round(score, 9) DESC, id LIMIT 20),
+ CAST(to_json(text) AS VARCHAR) || '}' AS block FROM lex ORDER BY round(score, 9) DESC, id LIMIT 20),
  f AS (SELECT 0::BIGINT AS place, 95::BIGINT AS used, '' AS body, 0 AS n, 0 AS o UNION ALL
  SELECT hit.place, CASE WHEN used + length(block) + (n > 0)::INT <= 6000 THEN used + length(block) + (n > 0)::INT ELSE used END,
  CASE WHEN used + length(block) + (n > 0)::INT <= 6000 THEN body || CASE WHEN n > 0 THEN ',' ELSE '' END || block ELSE body END,
@@ -146,6 +146,17 @@ ORACLES = {
  x AS (SELECT doc_id, lang, len(t) AS n, unnest(t) AS w FROM s),
  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.w = b.w AND a.lang = b.lang AND a.doc_id < b.doc_id AND a.n >= 0.69 * b.n AND b.n >= 0.69 * a.n GROUP BY a.doc_id, b.doc_id)
  SELECT a, b, round(k / (na + nb - k), 9) AS jaccard FROM p WHERE k / (na + nb - k) >= 0.7::DOUBLE""",
+    "consolidation_proposals": r"""WITH RECURSIVE b AS (SELECT lpad(CAST(item_id AS VARCHAR), 10, '0') AS id, text FROM benchmark UNION ALL SELECT lpad(CAST(item_id + 1000000 AS VARCHAR), 10, '0'), text FROM benchmark WHERE item_id % 5 = 0),
+ s AS (SELECT id, text, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), lambda t: length(t) > 2) AS t FROM b),
+ p AS (SELECT x.id AS a, list(y.id ORDER BY y.id) AS partners FROM s x JOIN s y ON x.id < y.id AND len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) >= 0.7::DOUBLE * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) GROUP BY x.id),
+ o AS (SELECT a, partners, row_number() OVER (ORDER BY a) AS k FROM p),
+ f AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS used, []::VARCHAR[] AS star UNION ALL
+ SELECT o.k, CASE WHEN list_contains(used, o.a) OR len(list_filter(o.partners, lambda x: NOT list_contains(used, x))) = 0 THEN used ELSE used || [o.a] || list_filter(o.partners, lambda x: NOT list_contains(used, x)) END,
+ CASE WHEN list_contains(used, o.a) OR len(list_filter(o.partners, lambda x: NOT list_contains(used, x))) = 0 THEN [] ELSE [o.a] || list_filter(o.partners, lambda x: NOT list_contains(used, x)) END FROM f JOIN o ON o.k = f.k + 1),
+ m AS (SELECT k, star, unnest(star) AS id FROM f WHERE len(star) > 0),
+ r AS (SELECT k, any_value(star) AS star, arg_max(text, (length(text), m.id)) AS text FROM m JOIN b USING (id) GROUP BY k)
+ SELECT sha256('{"anchor":"' || array_to_string([x || ':1' FOR x IN star], '|') || '","namespace":"bench","parents":[' || array_to_string(['["' || x || '",1]' FOR x IN star], ',') || '],"schema":"recordloom-derived-v1","source":"consolidation","text":' || CAST(to_json(text) AS VARCHAR) || '}') AS id,
+ '[' || array_to_string(star, ', ') || ']' AS members, 0.75::DOUBLE AS confidence, 'trusted' AS trust, true AS ready FROM r""",
     "ingest_batch_outcomes": _with(_ITEM) + "SELECT id, pos, outcome, 1::BIGINT AS revision FROM outc",
     "ingest_checkpoint_replay": _with(_ITEM) + "SELECT operation_id, pos, outcome, revision, replayed FROM ops",
     "ingest_receipts": _with(_ITEM) + "SELECT 'events' AS namespace, count(*) FILTER (outcome = 'inserted' AND NOT replayed) AS inserted, count(*) FILTER (outcome <> 'conflict' AND (replayed OR outcome = 'duplicate')) AS duplicates, count(*) FILTER (outcome = 'conflict') AS conflicts, count(*) AS cursor FROM ops",

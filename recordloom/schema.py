@@ -20,6 +20,8 @@ RECORD = table_of(
 EDGE = table_of("namespace string, source string, relation string, target string, record_id string, revision bigint, weight double")
 OPERATION = table_of("namespace string, operation_id string, fingerprint string, record_id string, outcome string, revision bigint")
 
+FEEDBACK = table_of("namespace string, record_id string, operation_id string, expected_revision bigint, outcome string, revision bigint")
+
 TRUST = ["untrusted", "unknown", "trusted"]
 STATUS = ["active", "retired"]
 
@@ -64,3 +66,13 @@ def checked(records: DataFrame) -> DataFrame:
     error = F.raise_error(F.concat(F.lit("record "), F.coalesce("id", F.lit("?")), F.lit(": invalid field "), bad))
     kept = records.withColumn("id", F.when(bad.isNotNull(), error.cast("string")).otherwise(F.col("id")))
     return kept.withColumn("audience", F.array_sort(F.array_distinct("audience")))
+
+
+def to_json(records: DataFrame) -> DataFrame:
+    """One JSON object a record, with all fields of a record, nulls included (column json)."""
+    return records.select(F.to_json(F.struct(*RECORD.names), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json(rows: DataFrame) -> DataFrame:
+    """Records of JSON objects (column json). Unknown fields are ignored; a bad field fails the read as in `checked`."""
+    return checked(rows.select(F.from_json("json", RECORD).alias("r")).select("r.*"))

@@ -21,12 +21,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def cut_lineage(df):
-    """Write a frame to the shared folder and read it back, so that loops keep short plans and lost executors cost little."""
+def shared_path(spark, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir; only a local session may do without the setting."""
+    import re
     import uuid
 
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    path = f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df):
+    """Write a frame to the shared folder and read it back, so that loops keep short plans and lost executors cost little."""
+    path = shared_path(df.sparkSession, "loom")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,9 +14,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from recordloom.errors import CheckpointConflictError, ConflictError, OperationConflictError
+from recordloom.errors import CheckpointConflictError, ConflictError, OperationConflictError, identifier
+from recordloom.functions import text as tx
 from recordloom.operators import ledger, provenance
-from recordloom.schema import EDGE, OPERATION, RECORD, checked
+from recordloom.schema import EDGE, FEEDBACK, OPERATION, RECORD, checked
+from recordloom.session import cut_lineage
 
 VERSION = 2
 
@@ -46,7 +48,12 @@ class Store:
         return True
 
     def _text(self, path: str) -> str:
-        return "\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(path).collect())
+        """A small file's text, read through the file system: no Spark job."""
+        stream = self.fs.open(self._path(path))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def _manifests(self) -> list[dict]:
         names = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.path}/manifests")) if s.getPath().getName().endswith(".json"))
@@ -68,6 +75,10 @@ class Store:
     def history(self, namespace: str = "default") -> DataFrame:
         return checked(self._read("history", RECORD, self._manifests()).where(F.col("namespace") == namespace))
 
+    def all_history(self) -> DataFrame:
+        """The history of all namespaces."""
+        return checked(self._read("history", RECORD, self._manifests()))
+
     def snapshot(self, namespace: str = "default") -> DataFrame:
         return ledger.latest(self.history(namespace))
 
@@ -78,6 +89,8 @@ class Store:
     def put(self, records: DataFrame, expected: str = "revision") -> DataFrame:
         """Writes records (one per id) whose column `expected` equals the stored revision; all or none."""
         rows = records.select(*(F.col(f.name).cast(f.dataType) for f in RECORD.fields), F.col(expected).cast("bigint").alias("__expected"))
+        if not rows.groupBy("namespace", "id").count().where("count > 1").isEmpty():
+            raise ConflictError("an id occurs twice in one call")
         for _ in range(self.retries):
             at = self._manifests()
             current = ledger.latest(self._read("history", RECORD, at)).select("namespace", "id", F.col("revision").alias("__stored"))
@@ -92,7 +105,7 @@ class Store:
     def link(self, edges: DataFrame) -> None:
         """Adds edges backed by current revisions; the last write of an edge holds."""
         rows = edges.select(*(F.col(f.name).cast(f.dataType) for f in EDGE.fields))
-        rows = rows.withColumns({"source": F.lower("source"), "target": F.lower("target")})
+        rows = rows.withColumns({"source": tx.casefold(F.col("source")), "target": tx.casefold(F.col("target"))})
         bad = (F.trim("source") == "") | (F.trim("relation") == "") | (F.trim("target") == "") | ~F.coalesce((F.col("weight") > 0) & (F.col("weight") <= 1), F.lit(False))
         if not rows.where(bad).isEmpty():
             raise ValueError("non-empty concepts and a weight in (0, 1] are required")
@@ -123,6 +136,7 @@ class Store:
         Records, operations and the cursor become visible together. Items before an operation id that is bound
         to other input are kept, then OperationConflictError is raised.
         """
+        identifier(name, "name")
         at = self._manifests()
         if self.cursor(name, namespace) != cursor:
             raise CheckpointConflictError("the source cursor has moved")
@@ -143,12 +157,44 @@ class Store:
             raise OperationConflictError("an operation id is bound to other input")
         return done
 
+    def retire(self, candidates: DataFrame) -> DataFrame:
+        """Retires candidates (namespace, id, revision) that are still current. Others are reported as conflicted and left."""
+        wanted = candidates.select("namespace", "id", "revision")
+        for _ in range(self.retries):
+            at = self._manifests()
+            current = ledger.latest(self._read("history", RECORD, at))
+            outcome = ledger.retire(wanted, current)
+            done = outcome.where("outcome = 'applied'").select("namespace", "id", F.col("revision").alias("next"))
+            new = current.join(done, ["namespace", "id"]).withColumns({"revision": F.col("next"), "status": F.lit("retired")})
+            outcome = cut_lineage(outcome)
+            if self._commit(len(at), {"history": checked(new.select(*RECORD.names))}):
+                return outcome
+        raise ConflictError("the store is busy")
+
     def maintain(self, now: float, namespace: str = "default", dry_run: bool = True) -> DataFrame:
-        """Expired records; unless dry_run they are retired by a new revision."""
+        """Expired records; unless dry_run they are retired by a new revision: id, outcome and revision of each."""
         rows = ledger.expired(self.snapshot(namespace), now)
         if dry_run:
             return rows.select("id", "revision")
-        return self.put(rows.withColumn("status", F.lit("retired"))).select("id", "revision")
+        return self.retire(cut_lineage(rows.select("namespace", "id", "revision"))).select("id", "outcome", "revision")
+
+    def feedback(self, commands: DataFrame) -> DataFrame:
+        """Applies feedback commands (pos, namespace, operation_id, record_id, expected_revision, outcome) for good.
+
+        Operation ids are bound within their namespace, over all calls. Applied commands and the retirements they
+        cause become visible together.
+        """
+        for _ in range(self.retries):
+            at = self._manifests()
+            current = ledger.latest(self._read("history", RECORD, at))
+            done = cut_lineage(ledger.feedback(commands, current, self._read("feedback", FEEDBACK, at)))
+            fresh = done.where("result = 'applied' and not duplicate").join(commands.select("namespace", "pos", "expected_revision"), ["namespace", "pos"])
+            ended = fresh.where(F.col("outcome").isin("incorrect", "retract")).select("namespace", F.col("record_id").alias("id"), F.col("revision").alias("next"))
+            new = current.join(ended, ["namespace", "id"]).withColumns({"revision": F.col("next"), "status": F.lit("retired")})
+            tables = {"feedback": fresh.select(*FEEDBACK.names), "history": checked(new.select(*RECORD.names))}
+            if self._commit(len(at), tables):
+                return done
+        raise ConflictError("the store is busy")
 
     def evidence(self, now: float, namespace: str = "default", **bounds) -> DataFrame:
         return provenance.resolve(self.snapshot(namespace), now, **bounds)

@@ -1,6 +1,10 @@
 """Contracts of records, provenance, ledgers, packing and the store on small rows."""
 
+import hashlib
+import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +14,9 @@ from recordloom.functions import identity, text as tx
 from recordloom.operators import canonical, graph, ledger, packing, provenance, recall as rc, search
 from recordloom.operators.excerpt import excerpt
 from recordloom.operators.summaries import ModelOutput, summarize
-from recordloom.schema import RECORD, checked, first_bad_field
+from recordloom.errors import identifier
+from recordloom.schema import RECORD, checked, first_bad_field, from_json, to_json
+from recordloom.sources import feeds
 from recordloom.sources.store import Store
 
 BASE = {"namespace": "default", "revision": 1, "text": "words", "source": "manual", "author": None, "kind": "fact", "trust": "trusted", "audience": ["*"], "sources": [], "derived": False, "complete": True, "confidence": 1.0, "created_at": 0.0, "occurred_at": None, "expires_at": None, "status": "active"}
@@ -54,9 +60,6 @@ def test_kinds_and_secrets(spark):
 
 
 def test_identities(spark):
-    import hashlib
-    import json
-
     texts = ["plain", 'quo"te \\ / \n\t', "é Кот 😀", "\x1f\x0b\x7f"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(identity.record_id(F.lit("n"), F.lit("s"), F.lit("a"), F.col("t"))).collect()]
@@ -71,7 +74,9 @@ def test_identities(spark):
 def test_published_fingerprint(spark):
     fields = {n: F.col(n) for n in RECORD.names}
     got = rows(spark, {"id": "r", "text": "evidence", "created_at": 100.0, "trust": "unknown", "audience": []}).select(identity.fingerprint(fields)).first()[0]
-    assert got == "1d2bb3369b7902a786a7c9b9e48d08ce94b7715f878127b671ac080c97a1e9a9"
+    record = {"audience": [], "author": None, "complete": True, "confidence": [1, 1], "derived": False, "expires_at": None, "id": "r", "kind": "fact", "namespace": "default"}
+    record |= {"occurred_at": None, "source": "manual", "sources": [], "status": "active", "text": "evidence", "trust": "unknown"}
+    assert got == hashlib.sha256(json.dumps({"record": record, "schema": identity.INGEST_TAG}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
 def test_first_bad_field(spark):
@@ -97,7 +102,7 @@ def test_bounds_of_a_diamond(spark):
 
 def test_recall_respects_access_and_stale_index(spark):
     df = rows(spark, {"id": "a", "text": "alpha beta"}, {"id": "b", "text": "alpha", "audience": []}, {"id": "c", "text": "alpha", "status": "retired"})
-    index = search.postings(df.withColumn("revision", F.when(F.col("id") == "a", 2).otherwise(F.col("revision")).cast("bigint")))
+    index = search.index(df.withColumn("revision", F.when(F.col("id") == "a", 2).otherwise(F.col("revision")).cast("bigint")))
     hits = rc.recall(df, "alpha", "w", 1.0, index=index).collect()
     assert [(h["id"], h["routes"]) for h in hits] == [("a", ["lexical"])]
     assert rc.counts(rc.eligible(df, "w", 1.0)).first() == (3, 1, 1, 1)
@@ -107,8 +112,8 @@ def test_recall_respects_access_and_stale_index(spark):
 
 def test_phrases_in_the_index(spark):
     df = rows(spark, {"id": "a", "text": "see v1.2 now"}, {"id": "b", "text": "2 then 1 v1"})
-    assert [r["id"] for r in search.candidates(search.postings(df), "v1.2").collect()] == ["a"]
-    assert search.candidates(search.postings(df), "the and").count() == 0
+    assert [r["id"] for r in search.candidates(search.index(df), "v1.2").collect()] == ["a"]
+    assert search.candidates(search.index(df), "the and").count() == 0
 
 
 def test_graph_does_not_cross_private_edges(spark):
@@ -192,3 +197,163 @@ def test_summaries(spark):
     assert made.first()["text"] == "sum of one" and made.first()["trust"] == "trusted"
     with pytest.raises(ValueError):
         summarize(df, [("b", 1)], lambda texts: ModelOutput("x"), 1.0)
+
+
+def test_derive_refuses_absent_parents(spark):
+    """A child of a present and an absent parent, and one without stored parents, are errors."""
+    parents = rows(spark, {"id": "a"})
+    schema = "child string, text string, source string, anchor string, sources array<struct<id:string,revision:bigint>>"
+    for sources in ([("a", 1), ("gone", 1)], [("gone", 1)], [("a", 2)], []):
+        with pytest.raises(Exception, match="parent"):
+            provenance.derive(parents, spark.createDataFrame([("k", "t", "s", "x", sources)], schema)).collect()
+    assert provenance.derive(parents, spark.createDataFrame([("k", "t", "s", "x", [("a", 1)])], schema)).count() == 1
+
+
+def test_namespaces_stay_apart(spark):
+    df = rows(spark, {"id": "a", "text": "alpha"}, {"id": "a", "text": "alpha", "namespace": "other", "status": "retired"}, *({"id": f"o{i}", "text": "alpha alpha", "namespace": "other"} for i in range(120)))
+    with pytest.raises(ValueError):
+        provenance.resolve(df, 1.0)
+    hits = rc.recall(df, "alpha", "w", 1.0, index=search.index(df), namespace="default").collect()
+    assert [(h["id"], h["routes"]) for h in hits] == [("a", ["fts5", "lexical"])]  # 120 better matches elsewhere don't push it out
+
+
+def test_recall_by_graph(spark):
+    """A record reached over an edge comes along with its route; one behind a private record doesn't."""
+    df = rows(spark, {"id": "a", "text": "alpha"}, {"id": "b", "text": "nothing"}, {"id": "c", "text": "nothing", "audience": []}, {"id": "d", "text": "nothing"})
+    edges = spark.createDataFrame([("default", "x", "r", "y", "a", 1, 0.9), ("default", "y", "r", "z", "b", 1, 0.8), ("default", "z", "r", "q", "c", 1, 1.0), ("default", "q", "r", "p", "d", 1, 1.0)], "namespace string, source string, relation string, target string, record_id string, revision bigint, weight double")
+    got = {h["id"]: (h["routes"], round(h["score"], 6)) for h in rc.recall(df, "alpha", "w", 0.0, edges=edges).collect()}
+    assert got == {"a": (["graph", "lexical"], 2.0), "b": (["graph"], 0.8)}
+
+
+def test_stored_index(spark, tmp_path):
+    kept = search.StoredIndex(spark, str(tmp_path / "index"))
+    one, two = rows(spark, {"id": "a", "text": "alpha beta beta"}, {"id": "b", "text": ""}), rows(spark, {"id": "z", "text": "beta", "namespace": "other"})
+    assert kept.rebuild(one, "default") == {"namespace": "default", "indexed": 1} and kept.rebuild(two, "other")["indexed"] == 1
+    assert kept.rebuild(rows(spark, {"id": "c", "text": "beta beta beta"}), "default")["indexed"] == 1
+    assert [r["id"] for r in search.candidates(kept.read(), "beta", namespace="default").collect()] == ["c"]
+    assert sorted(r["id"] for r in search.candidates(kept.read(), "beta").collect()) == ["c", "z"]
+
+
+def test_counts_of_terms_and_phrases(spark):
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["1", "2", "v1", "abc", "x"]) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    df = search.index(rows(spark, *({"id": f"{i:02d}", "text": t} for i, t in enumerate(texts))))
+    for phrase in (["abc"], ["v1", "2"], ["1", "1"], ["1", "2", "1"]):
+        want = {f"{i:02d}": sum(t.split()[j : j + len(phrase)] == phrase for j in range(len(t.split()))) for i, t in enumerate(texts) if t}
+        assert {x["id"]: x["n"] for x in df.select("id", search._count(phrase).alias("n")).collect()} == want
+
+
+def test_feedback_checks_and_scope(spark):
+    kind = "pos bigint, namespace string, operation_id string, record_id string, expected_revision bigint, outcome string"
+    records = spark.createDataFrame([("n", "a", 1, "active"), ("n", "b", 1, "active")], "namespace string, id string, revision bigint, status string")
+    for bad in ((0, "n", "o", "a", 1, "nonsense"), (0, "n", "o o", "a", 1, "helpful")):
+        with pytest.raises(Exception, match="outcome|operation_id"):
+            ledger.feedback(spark.createDataFrame([bad], kind), records).collect()
+    shared = spark.createDataFrame([(0, "n", "o", "b", 1, "helpful"), (1, "n", "o", "a", 1, "helpful"), (2, "n", "p", "a", 1, "retract")], kind)
+    assert {r["pos"]: r["result"] for r in ledger.feedback(shared, records).collect()} == {0: "applied", 1: "conflict", 2: "applied"}
+
+
+def test_store_feedback_is_durable(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.put(rows(spark, {"id": "a", "revision": 0}, {"id": "b", "revision": 0}))
+    kind = "pos bigint, namespace string, operation_id string, record_id string, expected_revision bigint, outcome string"
+    send = lambda *c: {r["pos"]: (r["result"], r["revision"], r["duplicate"]) for r in store.feedback(spark.createDataFrame(list(c), kind)).collect()}
+    assert send((0, "default", "o", "a", 1, "helpful"), (1, "default", "end", "b", 1, "retract")) == {0: ("applied", 1, False), 1: ("applied", 2, False)}
+    again = Store(spark, str(tmp_path / "store"))
+    assert again.get("b").first()["status"] == "retired" and again.get("b").first()["revision"] == 2
+    assert send((5, "default", "o", "a", 1, "helpful"), (6, "default", "end", "b", 1, "retract"), (7, "default", "o", "b", 2, "helpful")) == {5: ("applied", 1, True), 6: ("applied", 2, True), 7: ("conflict", None, False)}
+    assert send(*((i, "default", f"h{i}", "a", 1, "helpful") for i in range(64)))[63][0] == "full"
+
+
+def test_maintenance_goes_on_past_conflicts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.put(rows(spark, *({"id": x, "revision": 0, "expires_at": 5.0} for x in "abc")))
+    stale = spark.createDataFrame([("default", x, 1) for x in "abc"], "namespace string, id string, revision bigint")
+    store.put(store.get("b").withColumn("text", F.lit("newer")))
+    assert {r["id"]: (r["outcome"], r["revision"]) for r in store.retire(stale).collect()} == {"a": ("applied", 2), "b": ("conflicted", 1), "c": ("applied", 2)}
+    assert {r["id"] for r in store.maintain(10.0, dry_run=False).collect()} == {"b"} and store.maintain(10.0).count() == 0
+
+
+def test_put_refuses_an_id_twice(spark, tmp_path):
+    with pytest.raises(ConflictError):
+        Store(spark, str(tmp_path / "store")).put(rows(spark, {"id": "a", "revision": 0}, {"id": "a", "revision": 0, "text": "other"}))
+
+
+def test_sources(spark, tmp_path):
+    class Some:
+        def __init__(self, *records):
+            self.df = rows(spark, *records).coalesce(1).withColumn("pos", F.monotonically_increasing_id())
+
+        def records(self):
+            return self.df
+
+    store = Store(spark, str(tmp_path / "store"))
+    assert feeds.ingest(store, Some({"id": "a", "revision": 0}, {"id": "b", "revision": 0})) == 2
+    with pytest.raises(ConflictError):
+        feeds.ingest(store, Some({"id": "c", "revision": 0}, {"id": "a", "revision": 0}, {"id": "d", "revision": 0}))
+    assert sorted(r["id"] for r in store.snapshot().collect()) == ["a", "b", "c"]
+
+
+def test_json_round_trip(spark):
+    df = rows(spark, {"id": "a", "text": 'q"uote \n é', "sources": [("p", 2)], "expires_at": 1.5}, {"id": "b", "audience": []})
+    assert from_json(to_json(df)).orderBy("id").collect() == df.orderBy("id").collect()
+    assert set(json.loads(to_json(df).first()[0])) == set(RECORD.names)
+    with pytest.raises(Exception, match="invalid field trust"):
+        from_json(to_json(rows(spark, {"id": "a", "trust": "sure"}))).collect()
+
+
+def test_small_helpers(spark):
+    df = spark.createDataFrame([("Straße ΑΣ İ",), ("PLAIN",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.casefold(F.col("t"))).collect()] == ["Straße ΑΣ İ".casefold(), "plain", None]
+    assert df.select(tx.match_score(F.lit("one two three"), ["one", "thr", "three"])).first()[0] == 2
+    assert identifier("a.b:c-d_1", "x") and not any(_fails(identifier, v) is None for v in ("", "a b", "é", "x" * 101, None))
+
+
+def _fails(f, value):
+    try:
+        f(value, "x")
+    except ValueError as e:
+        return e
+
+
+def test_summary_bounds(spark):
+    chain = [{"id": "a"}, {"id": "b", **ref("a")}, {"id": "c", **ref("b")}]
+    model = lambda texts: ModelOutput("sum")
+    assert summarize(rows(spark, *chain), [("c", 1)], model, 1.0, max_nodes=4, max_depth=3)[0].count() == 1
+    for bounds in ({"max_nodes": 3, "max_depth": 3}, {"max_nodes": 4, "max_depth": 2}):
+        with pytest.raises(ValueError):
+            summarize(rows(spark, *chain), [("c", 1)], model, 1.0, **bounds)
+    with pytest.raises(ValueError):
+        summarize(rows(spark, *chain), [("c", 2)], model, 1.0)
+
+
+def test_excerpt_against_every_window():
+    """The passage shown is the best of all windows, tried one by one."""
+    r = random.Random(7)
+    word = lambda: r.choice(["lorem", "ipsum", "dolor", "zebra", "crossing", "v1.2", "sit", "amet", "longunbrokenword" * 8])
+    for trial in range(150):
+        text = "".join(r.choice(["[note] ", ""]) + r.choice(["me: ", ""])) + " ".join(r.choice(["lorem", "ipsum"]) for _ in range(r.choice([10, 60, 90]))) + " " + " ".join(word() for _ in range(r.randint(0, 120)))
+        query, limit = r.choice(["zebra crossing", "zebra", "v1.2 crossing", "zebra crossing dolor"]), r.choice([128, 200, 300])
+        got = excerpt(text, query, limit)
+        head = re.match(r"(\[note\] )?(me: )?", text).end()
+        room = limit - head - 80
+        terms = query.split()
+        found = [(m.start(), m.end(), t) for t in terms for m in re.finditer(rf"(?<!\w)(?<!\w[.+-]){re.escape(t)}(?!\w)(?![.+-]\w)" if "." in t else rf"\b{t}\b", text)]
+        best = None
+        if len(text) > limit and room >= 64 and room >= min(128, 128) and found and all(e > limit for _, e, _ in found):
+            for begin in sorted({max(head, s - min(240, room // 4)) for s, _, _ in found}):
+                a, b = begin, min(len(text), begin + room)
+                if a > head and not text[a - 1].isspace():
+                    a = next((i + 1 for i in range(a, min(a + 80, b)) if text[i].isspace()), None)
+                if a is not None and b < len(text) and not text[b].isspace():
+                    b = next((i for i in range(b - 1, max(a, b - 80) - 1, -1) if text[i].isspace()), None)
+                if a is None or b is None:
+                    continue
+                have = {t for s, e, t in found if a <= s and e <= b}
+                if ("v1.2" in have if "v1.2" in terms else len(have) >= tx.required(len(terms))) and (best is None or len(have) > best[0]):
+                    best = (len(have), a, b)
+        if best is None:
+            assert got == text[:limit]
+        else:
+            want = f"{text[:head]}[excerpt chars {best[1]}:{best[2]}/{len(text)}; context omitted] … {text[best[1] : best[2]]}{' …' if best[2] < len(text) else ''}"
+            assert got == (want if len(want) <= limit else text[:limit])
