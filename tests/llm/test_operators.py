@@ -205,14 +205,43 @@ def test_secrets(spark, odd):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(odd.limit(0)).count() == 0
 
 
+def all_secrets(text):
+    """Base spans, then windows over what neither they nor the allow-list cover, one by one."""
+    base = [(int(a), secrets.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in base_secrets(text).split(",") if x)]
+    clear = list(text)
+    for a, _, b in base:
+        clear[a:b] = " " * (b - a)
+    clear = "".join(clear)
+    clear = re.sub(secrets.ALLOWED, lambda m: " " * len(m[0]), clear)
+    out = list(base)
+    for m in re.finditer(secrets.CANDIDATE, clear):
+        c = m[0]
+        if re.fullmatch("[0-9_=-]+", c) or len(re.sub(secrets.WORDS, "", c)) * secrets.LEAST_REST < len(c):
+            continue
+        for kind, (alphabet, least) in secrets.CLASSES.items():
+            word, spans = c.lower() if kind == "entropy_hex" else c, []
+            for i in range(len(c) - 19):
+                w = word[i : i + 20]
+                if set(w) <= set(alphabet) and -sum(n / 20 * math.log2(n / 20) for n in collections.Counter(w).values()) >= least:
+                    if spans and i < spans[-1][1]:
+                        spans[-1][1] = i + 20
+                    else:
+                        spans.append([i, i + 20])
+            out += [(m.start() + a, secrets.KINDS.index(kind), m.start() + b) for a, b in spans]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
 def test_window_entropy(spark):
-    texts = ["x fK9q2LmZ7vRt4WzY8bNcQ1 y", "the internationalization0fsomething", "id 123e4567-e89b-12d3-a456-426614174000", "zzzzzzzzzzzzzzzzzzzzzzzzzzzz1", "EXAMPLEfK9q2LmZ7vRt4WzY8bNc"]
-    got = [r["spans"] for r in secrets.scan(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
-    alphabet, least = secrets.CLASSES["entropy_base64"]
-    s = texts[0][2:24]
-    bits = lambda w: -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(w).values())
-    good = [i for i in range(len(s) - 19) if bits(s[i : i + 20]) >= least]
-    assert got[0] == f"entropy_base64:{2 + good[0]}:{2 + good[-1] + 20}" and got[1:] == ["", "", "", ""]
+    key = "q7Zk2LmX9vRb4TnW8yHc3D"
+    texts = [f"x {key} y", f"{key}======", f"/img/src/{key}", f"{key}0123456789abcdef0123", "aBcDkLmNoPqRsTuVwXyZfGhJQzWx", f"{key}.....{key}", f"EXAMPLE{key}"]
+    plain = ["the internationalization0fsomething", "id 123e4567-e89b-12d3-a456-426614174000", "zzzzzzzzzzzzzzzzzzzzzzzzzzzz1", "https://site.org/some-long-title-2024/page-12", "ThisIsALongClassNameForTheFactory"]
+    r = random.Random(9)
+    parts = ["password=", "AKIA", "0123456789abcdef", "/img/src/", "example", "======", "A3F90C1D77", "-", "_", " ", key[:11], "fK9q2LmZ7vRt", "wordy", "Name", "é"]
+    mixed = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(250)] + ["".join(r.choice("abcdefABCDEF0123456789xyzXYZ+/_=-") for _ in range(r.randint(15, 90))) for _ in range(100)]
+    every = texts + plain + mixed
+    got = [x["spans"] for x in secrets.scan(docs(spark, list(enumerate(every)))).orderBy("doc_id").collect()]
+    assert got == [all_secrets(t) for t in every]
+    assert all("entropy_base64" in x for x in got[: len(texts)]) and got[len(texts) : len(texts) + len(plain)] == [""] * len(plain)
 
 
 def similar_texts():
