@@ -30,13 +30,13 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, strings
@@ -52,6 +52,7 @@ RAW = set("script style noscript template iframe svg math object textarea title
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = set("div section ul ol dl table aside figure nav header footer details form center fieldset".split())
+_BLOCKS = BLOCK - {"html", "body", "main", "article", "br", "hr"}
 DROPPED = set("nav footer aside form button dialog menu head".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -84,12 +85,12 @@ def _marked(value: str) -> set[str]:
 
 
 class Node:
-    """An element. size: characters of text below it, without what is left out; own: its hash, with all below it."""
+    """An element. size: characters of text below it, without what is left out; own: what it and all below it say, as it goes into hashes; hash: a candidate's hash of that."""
 
-    __slots__ = ("tag", "parent", "items", "drop", "main", "layout", "size", "own")
+    __slots__ = ("tag", "parent", "items", "drop", "main", "layout", "size", "own", "hash")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False, main: bool = False, layout: bool = False):
-        self.tag, self.parent, self.items, self.drop, self.main, self.layout, self.size, self.own = tag, parent, [], drop, main, layout, 0, 0
+        self.tag, self.parent, self.items, self.drop, self.main, self.layout, self.size, self.own, self.hash = tag, parent, [], drop, main, layout, 0, "", 0
 
 
 def _flags(tag: str, attributes: str) -> tuple[bool, bool, bool]:
@@ -213,19 +214,27 @@ def main_node(root: Node) -> tuple[Node, bool]:
 
 
 def _digest(data: str) -> int:
-    return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(data.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def candidates(root: Node, main: Node, marked: bool) -> list[Node]:
-    """Elements that may be templates, with their hashes set: containers, and on a page without a marked article any block."""
-    order = _bottom_up(root)
-    text = {}
-    for node in order:
-        parts = [_SPACE.sub(" ", x).strip() if isinstance(x, str) else str(x.own) for x in node.items]
-        node.own = _digest(f"{node.tag}\x01" + "\x00".join(parts))
-        text[id(node)] = any(x if isinstance(x, str) else text[id(y)] for x, y in zip(parts, node.items) if isinstance(y, str) and x or not isinstance(y, str))
-    tags = CONTAINERS if marked else BLOCK - {"html", "body", "main", "article", "br", "hr"}
-    return [x for x in order if x.tag in tags and text[id(x)] and x is not main]
+    """Elements that may be templates, with their hashes set: containers, and on a page without a marked article any block.
+
+    An element without text has no part in a hash. Only candidates are hashed; others stand in it as they are.
+    """
+    tags, out = CONTAINERS if marked else _BLOCKS, []
+    for node in _bottom_up(root):
+        parts = [" ".join(x.split()) if type(x) is str else x.own for x in node.items]
+        inner = "\x00".join([x for x in parts if x])
+        if not inner:
+            node.own = ""
+        elif node.tag in tags and node is not main:
+            node.hash = _digest(f"{node.tag}\x01{inner}")
+            node.own = f"\x02{node.hash}"
+            out.append(node)
+        else:  # long ones are hashed as well, so that deep nesting costs no more than its length
+            node.own = f"{node.tag}\x01{inner}" if len(inner) < 4096 else f"\x02{_digest(inner)}"
+    return out
 
 
 def walk(top: Node, marked: bool) -> list[str]:
@@ -258,7 +267,7 @@ def page_hashes(html: str) -> tuple[str, list[int]]:
     """The text of a page as it is without its host, and the hashes of its candidates for templates."""
     root = parse(html)
     node, marked = main_node(root)
-    return "\n".join(walk(node, marked)), sorted({x.own for x in candidates(root, node, marked)})
+    return "\n".join(walk(node, marked)), sorted({x.hash for x in candidates(root, node, marked)})
 
 
 def page_text(html: str, known: frozenset) -> str:
@@ -266,7 +275,7 @@ def page_text(html: str, known: frozenset) -> str:
     root = parse(html)
     node, marked = main_node(root)
     if known:
-        gone = [x for x in candidates(root, node, marked) if x.own in known]
+        gone = [x for x in candidates(root, node, marked) if x.hash in known]
         for x in gone:
             x.drop = True
         if gone:
