@@ -53,15 +53,18 @@ def propagate(nodes: DataFrame, refs: DataFrame, max_nodes: int = MAX_NODES, max
     whole(max_nodes, "max_nodes", 1)
     whole(max_depth, "max_depth")
     refs = cut_lineage(refs)
-    broken = refs.where("issue is not null").groupBy("child").agg(F.collect_set("issue").alias("ref_issues"))
-    follow = refs.where("issue is null or issue <> 'missing_source'").select("child", "parent").distinct()
-    start = nodes.join(broken, nodes.id == F.col("child"), "left").select(
-        "id", "trust", "audience", F.array_union("issues", F.coalesce("ref_issues", F.array().cast("array<string>"))).alias("issues"),
-        F.when(F.col("witness"), F.array("id")).otherwise(F.array().cast("array<string>")).alias("witnesses"),
+    sound = F.coalesce(F.col("issue") != "missing_source", F.lit(True))
+    follow = refs.where(sound).select("child", "parent").distinct()
+    # one aggregate gives what is wrong with a node's references and how many parents it waits for
+    own = refs.groupBy("child").agg(F.collect_set("issue").alias("ref_issues"), F.size(F.collect_set(F.when(sound, F.col("parent")))).alias("parents"))
+    none = F.array().cast("array<string>")
+    start = nodes.join(own, nodes.id == F.col("child"), "left").select(
+        "id", "trust", "audience", F.array_union("issues", F.coalesce("ref_issues", none)).alias("issues"),
+        F.when(F.col("witness"), F.array("id")).otherwise(none).alias("witnesses"), F.coalesce("parents", F.lit(0)).alias("parents"),
     )
-    start = start.join(follow.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("parents")), "id", "left").withColumn("parents", F.coalesce("parents", F.lit(0)))
+    start = cut_lineage(start)
     done = start.where("parents = 0").withColumns({"height": F.lit(0), "bound": F.lit(1).cast("bigint")}).drop("parents")
-    levels, todo = [cut_lineage(done)], cut_lineage(start.where("parents > 0"))
+    levels, todo = [done], start.where("parents > 0")
     follow = cut_lineage(follow)
     while not todo.isEmpty():
         done = reduce(DataFrame.unionByName, levels)  # each level is written once
