@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from recordloom.errors import whole
 from recordloom.functions import text as tx
 from recordloom.operators import provenance
+from recordloom.session import cut_lineage
 
 JACCARD, MAX_RECORDS = 0.7, 500
 
@@ -16,16 +17,19 @@ def similar(records: DataFrame, group: list[str], threshold: float = JACCARD) ->
     """Pairs a < b of one group whose word sets reach the threshold, with their similarity.
 
     Only pairs that share one of the rarest words of both are compared: a set of n words that reaches
-    the threshold shares one of its n - ceil(threshold * n) + 1 rarest.
+    the threshold shares one of its n - ceil(threshold * n) + 1 rarest, and the first one shared stands early in both.
     """
-    sets = records.select(*group, "id", tx.token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    rows = sets.select(*group, "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    # word sets are made once; the filter works on their hashes, the similarity on the words
+    sets = cut_lineage(records.select(*group, "id", tx.token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0))
+    rows = sets.select(*group, "id", F.size("tokens").alias("n"), F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("token"))
     common = rows.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("df"))
     ordered = rows.join(common, [*group, "token"]).groupBy(*group, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     kept = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
-    heads = ordered.select(*group, "id", "n", F.explode(F.slice("t", 1, kept.cast("int"))).alias("x")).select(*group, "id", "n", F.col("x.token").alias("token"))
-    left = heads.withColumnsRenamed({"id": "a", "n": "na"})
-    pairs = left.join(heads.withColumnsRenamed({"id": "b", "n": "nb"}), [*group, "token"]).where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)).select(*group, "a", "b").distinct()
+    heads = ordered.select(*group, "id", "n", F.posexplode(F.slice("t", 1, kept.cast("int"))).alias("at", "x")).select(*group, "id", "n", "at", F.col("x.token").alias("token"))
+    left = heads.withColumnsRenamed({"id": "a", "n": "na", "at": "a_at"})
+    # the first word that two sets share leaves room for all they must share, on both sides
+    room = F.least(F.col("na") - F.col("a_at"), F.col("nb") - F.col("b_at")) >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = left.join(heads.withColumnsRenamed({"id": "b", "n": "nb", "at": "b_at"}), [*group, "token"]).where((F.col("a") < F.col("b")) & room).select(*group, "a", "b").distinct()
     words = sets.select(*group, "id", "tokens")
     both = pairs.join(words.withColumnsRenamed({"id": "a", "tokens": "ta"}), [*group, "a"]).join(words.withColumnsRenamed({"id": "b", "tokens": "tb"}), [*group, "b"])
     shared = F.size(F.array_intersect("ta", "tb"))

@@ -53,36 +53,38 @@ def propagate(nodes: DataFrame, refs: DataFrame, max_nodes: int = MAX_NODES, max
     whole(max_nodes, "max_nodes", 1)
     whole(max_depth, "max_depth")
     refs = cut_lineage(refs)
-    sound = F.coalesce(F.col("issue") != "missing_source", F.lit(True))
-    follow = refs.where(sound).select("child", "parent").distinct()
-    # one aggregate gives what is wrong with a node's references and how many parents it waits for
-    own = refs.groupBy("child").agg(F.collect_set("issue").alias("ref_issues"), F.size(F.collect_set(F.when(sound, F.col("parent")))).alias("parents"))
+    follow = cut_lineage(refs.where(F.coalesce(F.col("issue") != "missing_source", F.lit(True))).select("child", "parent").distinct())
+    waits = follow.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("parents"))
+    wrong = refs.where(F.col("issue").isNotNull()).groupBy(F.col("child").alias("id")).agg(F.collect_set("issue").alias("ref_issues"))
     none = F.array().cast("array<string>")
-    start = nodes.join(own, nodes.id == F.col("child"), "left").select(
+    start = nodes.join(waits, "id", "left").join(wrong, "id", "left").select(
         "id", "trust", "audience", F.array_union("issues", F.coalesce("ref_issues", none)).alias("issues"),
         F.when(F.col("witness"), F.array("id")).otherwise(none).alias("witnesses"), F.coalesce("parents", F.lit(0)).alias("parents"),
     )
     start = cut_lineage(start)
-    done = start.where("parents = 0").withColumns({"height": F.lit(0), "bound": F.lit(1).cast("bigint")}).drop("parents")
-    levels, todo = [done], start.where("parents > 0")
-    follow = cut_lineage(follow)
-    while not todo.isEmpty():
-        done = reduce(DataFrame.unionByName, levels)  # each level is written once
-        up = follow.join(todo.select(F.col("id").alias("child"), "parents"), "child").join(done.select(F.col("id").alias("parent"), F.col("trust").alias("p_trust"), F.col("audience").alias("p_audience"), F.col("issues").alias("p_issues"), F.col("witnesses").alias("p_witnesses"), "height", "bound"), "parent")
-        level = up.groupBy("child").agg(
-            F.max("parents").alias("n"), F.count(F.lit(1)).alias("found"), F.min("p_trust").alias("p_trust"), F.collect_set("p_audience").alias("p_audiences"),
-            F.array_distinct(F.flatten(F.collect_set("p_issues"))).alias("p_issues"), F.array_distinct(F.flatten(F.collect_set("p_witnesses"))).alias("p_witnesses"),
-            (F.max("height") + 1).alias("height"), (F.sum("bound") + 1).alias("bound"),
-        ).where("n = found")
-        new = todo.join(level.withColumnRenamed("child", "id"), "id").select(
-            "id", F.least("trust", "p_trust").alias("trust"), meet(F.concat(F.array("audience"), F.col("p_audiences"))).alias("audience"),
-            F.array_union("issues", "p_issues").alias("issues"), F.slice(F.array_union("witnesses", "p_witnesses"), 1, max_nodes + 1).alias("witnesses"), "height", "bound",
+    new = cut_lineage(start.where("parents = 0").withColumns({"height": F.lit(0), "bound": F.lit(1).cast("bigint")}).drop("parents"))
+    levels, waiting = [new], None
+    while not new.isEmpty():
+        # a finished level is handed to its children once; what a child has got so far waits for its other parents
+        given = follow.join(new.withColumnRenamed("id", "parent"), "parent").select(
+            "child", F.lit(1).cast("bigint").alias("found"), F.col("trust").alias("p_trust"), F.array("audience").alias("p_audiences"), F.col("issues").alias("p_issues"),
+            F.col("witnesses").alias("p_witnesses"), "height", "bound",
         )
-        new = cut_lineage(new)
-        if new.isEmpty():
-            break
+        got = (given if waiting is None else given.unionByName(waiting)).groupBy("child").agg(
+            F.sum("found").alias("found"), F.min("p_trust").alias("p_trust"), F.array_distinct(F.flatten(F.collect_set("p_audiences"))).alias("p_audiences"),
+            F.array_distinct(F.flatten(F.collect_set("p_issues"))).alias("p_issues"), F.slice(F.array_distinct(F.flatten(F.collect_set("p_witnesses"))), 1, max_nodes + 1).alias("p_witnesses"),
+            F.max("height").alias("height"), F.sum("bound").alias("bound"),
+        )
+        got = cut_lineage(got.join(start.select(F.col("id").alias("child"), "parents"), "child"))
+        waiting, full = got.where("found < parents").drop("parents"), got.where("found = parents").drop("parents")
+        new = cut_lineage(start.drop("parents").join(full.withColumnRenamed("child", "id"), "id").select(
+            "id", F.least("trust", "p_trust").alias("trust"), meet(F.concat(F.array("audience"), F.col("p_audiences"))).alias("audience"),
+            F.array_union("issues", "p_issues").alias("issues"), F.slice(F.array_union("witnesses", "p_witnesses"), 1, max_nodes + 1).alias("witnesses"),
+            (F.col("height") + 1).alias("height"), (F.col("bound") + 1).alias("bound"),
+        ))
         levels.append(new)
-        todo = cut_lineage(todo.join(new.select("id"), "id", "left_anti"))
+    finished = reduce(DataFrame.unionByName, (x.select("id") for x in levels))
+    todo = start.where("parents > 0").join(finished, "id", "left_anti")
     stuck = todo.select("id", "trust", "audience", F.array_union("issues", F.array(F.lit("cycle"))).alias("issues"), "witnesses", F.lit(None).cast("int").alias("height"), F.lit(None).cast("bigint").alias("bound"))
     every = reduce(DataFrame.unionByName, levels).unionByName(stuck)
     over = every.where(F.col("bound") > max_nodes)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recordloom.errors import ConflictError, OperationConflictError, SnapshotError
 from recordloom.functions import identity, text as tx
-from recordloom.operators import canonical, graph, ledger, packing, provenance, recall as rc, search
+from recordloom.operators import canonical, consolidation, graph, ledger, packing, provenance, recall as rc, search
 from recordloom.operators.excerpt import excerpt
 from recordloom.operators.summaries import ModelOutput, summarize
 from recordloom.errors import identifier
@@ -357,3 +357,17 @@ def test_excerpt_against_every_window():
         else:
             want = f"{text[:head]}[excerpt chars {best[1]}:{best[2]}/{len(text)}; context omitted] … {text[best[1] : best[2]]}{' …' if best[2] < len(text) else ''}"
             assert got == (want if len(want) <= limit else text[:limit])
+
+
+def test_similar_pairs_against_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(60)]
+    sets = []
+    for i in range(120):
+        base = rng.sample(words, rng.randint(3, 25)) if i % 3 or not sets else list(rng.choice(sets))
+        sets.append([w for w in base if rng.random() > 0.12] + rng.sample(words, rng.randint(0, 2)) or ["alone"])
+    rows = spark.createDataFrame([("g", f"{i:03}", " ".join(s)) for i, s in enumerate(sets)], "lang string, id string, text string")
+    for threshold in (0.5, 0.7, 0.9):
+        want = {(f"{i:03}", f"{j:03}") for i, s in enumerate(sets) for j in range(i) for s in [set(s)] if len(s & set(sets[j])) >= threshold * len(s | set(sets[j]))}
+        got = {(r["b"], r["a"]) for r in consolidation.similar(rows, ["lang"], threshold).collect()}
+        assert got == want and want
