@@ -37,7 +37,7 @@ from .common import bounded_batches, materialise, strings
 U = np.uint64
 ORDER, BACKOFF = 2, 0.4
 BLOCK_CHARS = 5_000_000
-BUCKET_ROWS = 400_000
+BUCKET_ROWS = 2_000_000
 
 
 def _pack(a: np.ndarray, level: int = 1) -> bytes:
@@ -143,8 +143,10 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for pdf in batches:
             for row in pdf.itertuples():
                 for n, (keys, counts, *_) in enumerate(Block.load(row, order).grams, 1):
-                    cuts = np.searchsorted(keys, np.arange(1, 1 << bits).astype(U) << U(64 - bits))
-                    parts = [(i, k, c) for i, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts))) if len(k)]
+                    # only buckets that the block has keys for, however many there are
+                    owner = (keys >> U(64 - bits)).astype(np.int64)
+                    cuts = np.flatnonzero(np.diff(owner)) + 1
+                    parts = [(int(o[0]), k, c) for o, k, c in zip(np.split(owner, cuts), np.split(keys, cuts), np.split(counts, cuts)) if len(k)]
                     yield pd.DataFrame({"gram": n, "bucket": [p[0] for p in parts], "block": row.block, "keys": [_pack_keys(p[1]) for p in parts], "counts": [_pack(p[2]) for p in parts]})
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
