@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from recordloom.errors import whole
 from recordloom.functions import text as tx
-from recordloom.operators import provenance
+from recordloom.operators import pairing, provenance
 from recordloom.session import cut_lineage
 
 JACCARD, MAX_RECORDS = 0.7, 500
@@ -16,24 +16,39 @@ JACCARD, MAX_RECORDS = 0.7, 500
 def similar(records: DataFrame, group: list[str], threshold: float = JACCARD) -> DataFrame:
     """Pairs a < b of one group whose word sets reach the threshold, with their similarity.
 
-    Only pairs that share one of the rarest words of both are compared: a set of n words that reaches
-    the threshold shares one of its n - ceil(threshold * n) + 1 rarest, and the first one shared stands early in both.
+    Records with equal sets are one set until the end. Only sets that have enough of `pairing.keys` in common are compared, in
+    cells that get each of their sets once. Words are compared by 64-bit hashes.
     """
-    # word sets are made once; the filter works on their hashes, the similarity on the words
-    sets = cut_lineage(records.select(*group, "id", tx.token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0))
-    rows = sets.select(*group, "id", F.size("tokens").alias("n"), F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("token"))
-    common = rows.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = rows.join(common, [*group, "token"]).groupBy(*group, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    kept = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
-    heads = ordered.select(*group, "id", "n", F.posexplode(F.slice("t", 1, kept.cast("int"))).alias("at", "x")).select(*group, "id", "n", "at", F.col("x.token").alias("token"))
-    left = heads.withColumnsRenamed({"id": "a", "n": "na", "at": "a_at"})
-    # the first word that two sets share leaves room for all they must share, on both sides
-    room = F.least(F.col("na") - F.col("a_at"), F.col("nb") - F.col("b_at")) >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    pairs = left.join(heads.withColumnsRenamed({"id": "b", "n": "nb", "at": "b_at"}), [*group, "token"]).where((F.col("a") < F.col("b")) & room).select(*group, "a", "b").distinct()
-    words = sets.select(*group, "id", "tokens")
-    both = pairs.join(words.withColumnsRenamed({"id": "a", "tokens": "ta"}), [*group, "a"]).join(words.withColumnsRenamed({"id": "b", "tokens": "tb"}), [*group, "b"])
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.withColumn("jaccard", shared / (F.size("ta") + F.size("tb") - shared)).where(F.col("jaccard") >= threshold).select(*group, "a", "b", "jaccard")
+    spark = records.sparkSession
+    words = F.transform(tx.token_set(F.col("text")), lambda t: F.xxhash64(*group, t))
+    full = records.dropna(subset=group).select(*group, "id", words.alias("words")).where(F.size("words") > 0)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema)
+    seen = cut_lineage(full.mapInArrow(pairing.survey, f"{fields}, s bigint, s2 bigint, block bigint, chunk int, counts binary"))
+    members = seen.where(F.col("chunk").isNull())
+    counts = seen.where(F.col("chunk").isNotNull()).select("chunk", "counts").groupBy("chunk").applyInPandas(pairing.total, "chunk int, counts binary")
+    rarity = spark.sparkContext.broadcast(pairing.sketch(counts.collect()))
+    keys = members.select("s", "words").mapInArrow(pairing.keys(rarity, threshold), "key bigint, s bigint")
+    found = keys.repartition(F.shiftright("key", 16)).sortWithinPartitions("key").mapInArrow(pairing.meet(threshold), "a bigint, b bigint, shared bigint")
+    found = found.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= pairing.SHARED).drop("shared")
+    # sets with the same least hash are one block, so that similar ones come to a cell in few copies; large blocks are cut both ways
+    blocks = members.groupBy(F.col("s").alias("a")).agg(F.min("block").alias("block"))
+    pairs = cut_lineage(found.join(blocks, "a"))
+    block = F.pmod("block", F.lit(pairs.count() // pairing.CELL + 1))
+    cuts = pairs.groupBy(block.alias("block")).agg(F.ceil(F.sqrt(F.count(F.lit(1)) / (2 * pairing.CELL))).alias("cuts"))
+    cell = F.xxhash64("block", F.pmod("a", "cuts"), F.pmod("b", "cuts"))
+    pairs = cut_lineage(pairs.withColumn("block", block).join(cuts, "block").select(cell.alias("cell"), "a", "b"))
+    bits = pairs.mapInArrow(pairing.mark, "chunk int, bits binary").groupBy("chunk").applyInPandas(pairing.either, "chunk int, bits binary")
+    asked = spark.sparkContext.broadcast(pairing.marks(bits.collect()))
+    sets = members.select("s", "s2", "words").mapInArrow(pairing.marked(asked), "s bigint, s2 bigint, words array<bigint>").groupBy("s").agg(F.collect_set(F.struct("s2", "words")).alias("x"))
+    places = pairs.select(F.col("cell").alias("place"), F.explode(F.array("a", "b")).alias("s")).distinct()
+    held = places.join(sets, "s").select("place", "s", F.inline("x"))
+    near = pairs.groupBy("cell").cogroup(held.groupBy("place")).applyInPandas(pairing.compare(threshold), "a bigint, a2 bigint, b bigint, b2 bigint, jaccard double")
+    left = members.select(*group, F.col("id").alias("x"), F.col("s").alias("a"), F.col("s2").alias("a2"))
+    right = members.select(F.col("id").alias("y"), F.col("s").alias("b"), F.col("s2").alias("b2"))
+    different = near.join(left, ["a", "a2"]).join(right, ["b", "b2"]).where("x <> y")
+    equal = left.join(right, (F.col("a") == F.col("b")) & (F.col("a2") == F.col("b2")) & (F.col("x") < F.col("y"))).withColumn("jaccard", F.lit(1.0))
+    both = different.select(*group, "x", "y", "jaccard").unionByName(equal.select(*group, "x", "y", "jaccard"))
+    return both.select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def clusters(pairs: DataFrame, group: list[str]) -> DataFrame:
