@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words
-from .common import per_owner, strings
+from .common import per_owner, release, strings
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = [
@@ -248,6 +248,7 @@ def keep_good(docs: DataFrame, text: str = "text", keep_at: float = KEEP_AT) ->
         for pdf in batches:
             counts = count_texts(strings(pdf[text]))
             yield pdf[~base_failed(counts) & (posterior(votes(counts), model) >= keep_at)]
+        release()  # the next stage's work runs in this worker
 
     return docs.mapInPandas(choose, docs.schema)
 
