@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
-from .common import bounded_batches, join_dealt, materialise, strings
+from .common import bounded_batches, join_dealt, materialise, release, strings
 from .components import components
 
 U = np.uint64
@@ -89,6 +89,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         table, n, part = np.zeros((DEPTH, WIDTH), np.int64), 0, 0
         part = TaskContext.get().partitionId()
         for pdf in batches:
@@ -183,6 +184,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, n_docs: int) -> DataFr
     right = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")).join(salts, "a").select("a", "a_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         table, last, kept = shared.value, None, None
         for pdf in batches:
             theirs = runs(strings(pdf["b_text"]))
@@ -209,6 +211,7 @@ def _bounds(far: DataFrame, failed: DataFrame, held: DataFrame, shared, n_docs:
     own = far.sparkSession.sparkContext.broadcast(seen)
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             out = []
             for h in runs(strings(pdf["text"])):
@@ -233,6 +236,7 @@ def _links(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(table)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             weighed = [weigh(h, shared.value, n_docs) for h in runs(strings(pdf["text"]))]
             out = pd.DataFrame({"node": pdf["node"], "center": [_centrality(h, shared.value) for h, _ in weighed], "bands": [sample(h, w) if len(h) else None for h, w in weighed]})
